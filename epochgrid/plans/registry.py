@@ -34,7 +34,16 @@ SHARED = {
     "v": "v AS (SELECT site_id, ordinal, TRY_CAST(i->>'year' AS BIGINT) AS year, i->>'type' AS type FROM it WHERE section = 'events')",
     "m": "m AS (SELECT site_id, ordinal, i->>'kind' AS kind, i->>'name' AS name, nullif(trim(i->>'proposed_qid'), '') AS proposed_qid FROM it WHERE section = 'missing_entities')",
 }
-_NEEDS = {"s": "s", "j": "s j", "it": "s j it", "e": "s j it e", "v": "s j it v", "m": "s j it m"}
+SHARED["dm"] = (
+    """dj0 AS (SELECT id, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM (SELECT id, any_value(timeline) AS t FROM timeline_dump WHERE id IS NOT NULL AND timeline IS NOT NULL GROUP BY id)),
+        dj1 AS (SELECT id, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j->>'$') THEN CAST(j->>'$' AS JSON) END ELSE j END AS j FROM dj0),
+        dj AS (SELECT id, CASE WHEN json_type(j->'tracks') = 'OBJECT' THEN j->'tracks' ELSE j END AS t FROM dj1
+              WHERE json_type(j) = 'OBJECT' AND coalesce(json_type(j->'rejection'), 'NULL') = 'NULL'),
+        """
+    + SHARED["it"].replace("sec AS", "dsec AS").replace("FROM j)", "FROM dj)").replace("it AS", "dit AS").replace("FROM sec", "FROM dsec")
+    + """, dm AS (SELECT site_id, ordinal, i->>'kind' AS kind, i->>'name' AS name, i->>'context' AS context, nullif(trim(i->>'proposed_qid'), '') AS proposed_qid FROM dit WHERE section = 'missing_entities')"""
+)
+_NEEDS = {"s": "s", "j": "s j", "it": "s j it", "e": "s j it e", "v": "s j it v", "m": "s j it m", "dm": "dm"}
 
 
 def with_shared(sql: str, uses: str) -> str:

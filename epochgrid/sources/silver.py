@@ -38,10 +38,14 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("record_id").alias("site_id"), "ordinal", "year", F.col("label").alias("type"))
 
 
-def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(site_id, ordinal, kind, name, proposed_qid)"""
+def missing(spark: SparkSession, sf_dir: str, source: str = "sites") -> DataFrame:
+    """(site_id, ordinal, kind, name, context, proposed_qid) of the missing entities in a table's timelines."""
+    if source == "sites":
+        records = sites(spark, sf_dir)
+    else:
+        records = latest(table(spark, sf_dir, source).filter("timeline is not null"), "id", F.col("extracted_at").desc_nulls_last())
     out = timeline_items(
-        sites(spark, sf_dir).filter("timeline is not null"), "id", "timeline", ["record_id", "ordinal", "kind", "label", "proposed_qid"], ["missing_entities"]
+        records.filter("timeline is not null"), "id", "timeline", ["record_id", "ordinal", "kind", "label", "context", "proposed_qid"], ["missing_entities"]
     )
     proposed = F.when(F.trim("proposed_qid") != "", F.trim("proposed_qid"))
-    return out.select(F.col("record_id").alias("site_id"), "ordinal", "kind", F.col("label").alias("name"), proposed.alias("proposed_qid"))
+    return out.select(F.col("record_id").alias("site_id"), "ordinal", "kind", F.col("label").alias("name"), "context", proposed.alias("proposed_qid"))
