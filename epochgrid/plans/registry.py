@@ -55,7 +55,10 @@ def with_shared(sql: str, uses: str) -> str:
     sql = sql.strip()
     if not parts:
         return sql
-    return f"WITH {head}, {sql[5:]}" if sql[:5].upper() == "WITH " else f"WITH {head} {sql}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.upper().startswith(start):
+            return f"{start}{head}, {sql[len(start) :]}"
+    return f"WITH {head} {sql}"
 
 
 def query(sql: str | None = None, uses: str = "", name: str | None = None):
