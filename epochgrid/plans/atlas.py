@@ -315,9 +315,27 @@ def territory_clusters(spark, d):
     return _territory(spark, d).select("entity", "id", "cluster")
 
 
+_BY_COUNTRY = "a AS (SELECT country_qid AS entity, id, lon, lat FROM s WHERE country_qid IS NOT NULL AND lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90 AND timeline IS NOT NULL)"
+
+
+def _by_country(spark, d):
+    placed = silver.sites(spark, d).filter("country_qid is not null and lon between -180 and 180 and lat between -90 and 90 and timeline is not null")
+    return geo.clusters(placed.select(F.col("country_qid").alias("entity"), "id", "lon", "lat"))
+
+
+@query(
+    f"""WITH RECURSIVE {_BY_COUNTRY}, g AS (SELECT x.entity, x.id, y.id AS other FROM a x JOIN a y ON x.entity = y.entity AND pow(x.lon - y.lon, 2) + pow(x.lat - y.lat, 2) <= 25),
+        r AS (SELECT entity, id, id AS other FROM a UNION SELECT r.entity, r.id, g.other FROM r JOIN g ON g.entity = r.entity AND g.id = r.other)
+        SELECT entity, id, min(other) AS cluster FROM r GROUP BY entity, id""",
+    "s",
+)
+def country_clusters(spark, d):
+    return _by_country(spark, d).select("entity", "id", "cluster")
+
+
 @query()
-def territory_hulls(spark, d):
-    return geo.hulls(_territory(spark, d))
+def country_hulls(spark, d):
+    return geo.hulls(_by_country(spark, d))
 
 
 @query(
