@@ -44,6 +44,8 @@ def dyadic_blocks(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tupl
 
 def uncovered(g: np.ndarray, level: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Without copies and blocks inside an ancestor. Blocks nest or are apart, so an ancestor's end reaches beyond."""
+    if not g.size:
+        return g, level, k
     start = k << level
     order = np.lexsort((-level, start, g))
     g, level, k, start = g[order], level[order], k[order], start[order]
