@@ -126,7 +126,8 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, pat
     """(key, ids) of each row, without special tokens; an empty list where the text is empty or null.
 
     The strings of special tokens are ordinary text. Rows and their order within a task stay as they are, repeated and
-    null keys too, and nothing is shuffled. Other columns of ``df`` aren't read.
+    null keys too, and nothing is shuffled. Other columns of ``df`` aren't read; beside a key named ``ids`` the list is
+    ``token_ids``.
     """
     source = df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
 
@@ -156,7 +157,7 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, pat
                 yield pa.RecordBatch.from_arrays([batch.column("__key"), ids], names=["__key", "ids"])
 
     out = source.mapInArrow(run, f"__key {dict(df.dtypes)[key]}, ids array<int>")
-    return out.withColumnRenamed("__key", key)
+    return out.select(F.col("__key").alias(key), F.col("ids").alias("ids" if key != "ids" else "token_ids"))
 
 
 def p6_ids(spark, sf_dir: str) -> DataFrame:

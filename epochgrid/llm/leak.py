@@ -196,7 +196,8 @@ def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str
     word in eight changed, added or missing; spans begin and end with a shared word.
 
     Null and empty texts and items without words give nothing; an item shorter than ``SPAN`` words must be there as a
-    whole. Rows that repeat a document repeat its result. A key column of ``docs`` may have any name and be null.
+    whole. Rows that repeat a document repeat its result. A null key stays null; if both keys have one name the item's gets
+    ``_item`` at its end. Other columns aren't read.
     """
     spark = docs.sparkSession
     held = items.select(F.col(item_key).alias("item"), F.col(item_text).cast("string").alias("body")).filter(F.length("body") > 0)
@@ -221,7 +222,7 @@ def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str
         whole_type = rows.schema.field("item").type
         parts.append(source.mapInArrow(run, f"__key {dict(docs.dtypes)[key]}, __item {kind}"))
     out = reduce(DataFrame.unionByName, parts)
-    return out.select(F.col("__key").alias(key), F.col("__item").alias(item_key))
+    return out.select(F.col("__key").alias(key), F.col("__item").alias(item_key if item_key != key else f"{item_key}_item"))
 
 
 def p7_found(spark, sf_dir: str) -> DataFrame:
