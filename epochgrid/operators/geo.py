@@ -117,8 +117,9 @@ def clipped(ring: np.ndarray, window: np.ndarray) -> np.ndarray:
 
 
 def hulls(found: DataFrame, least: int = SITES, buffer: float = BUFFER) -> DataFrame:
-    """(entity, cluster, sites, corners, area, geometry) of clusters with enough sites: the convex hull, widened by ``buffer``
-    (its circle as a polygon of 16 corners), as GeoJSON. ``corners`` and ``area`` are those of the hull itself.
+    """(entity, cluster, sites, corners, area, geometry, west, south, east, north) of clusters with enough sites: the convex hull,
+    widened by ``buffer`` (its circle as a polygon of 16 corners), as GeoJSON, and the box around it. ``corners`` and ``area`` are those
+    of the hull itself.
 
     Only corners count, so tasks first reduce what they have of a cluster to its own hull; a hull of hulls is the hull of all.
     """
@@ -140,9 +141,33 @@ def hulls(found: DataFrame, least: int = SITES, buffer: float = BUFFER) -> DataF
             wide = convex_hull((ring[:, None, :] + circle[None, :, :]).reshape(-1, 2))
             text = "[[" + ",".join(f"[{x:.6f},{y:.6f}]" for x, y in [*wide, wide[0]]) + "]]"
             yield pa.RecordBatch.from_pydict(
-                {"entity": [group.column("entity")[0].as_py()], "cluster": [group.column("cluster")[0].as_py()], "sites": [n], "corners": [len(ring)], "area": [area(ring) if len(ring) > 2 else 0.0], "geometry": ['{"type":"Polygon","coordinates":' + text + "}"]}
-            )
+                {"entity": [group.column("entity")[0].as_py()], "cluster": [group.column("cluster")[0].as_py()], "sites": [n], "corners": [len(ring)], "area": [area(ring) if len(ring) > 2 else 0.0], "geometry": ['{"type":"Polygon","coordinates":' + text + "}"],
+                 "west": [wide[:, 0].min()], "south": [wide[:, 1].min()], "east": [wide[:, 0].max()], "north": [wide[:, 1].max()]}
+            )
 
     small = found.select("entity", "cluster", "lon", "lat").mapInArrow(reduce, "entity string, cluster string, n bigint, lon double, lat double")
     spread = small.repartition("entity", "cluster").sortWithinPartitions("entity", "cluster")
-    return spread.mapInArrow(join, "entity string, cluster string, sites bigint, corners bigint, area double, geometry string")
+    return spread.mapInArrow(join, "entity string, cluster string, sites bigint, corners bigint, area double, geometry string, west double, south double, east double, north double")
+
+
+def under(shapes: DataFrame, lon: float, lat: float) -> DataFrame:
+    """The shapes whose box holds a place."""
+    return shapes.filter(F.lit(lon).between(F.col("west"), F.col("east")) & F.lit(lat).between(F.col("south"), F.col("north")))
+
+
+def concave(found: DataFrame, share: float = 0.75, least: int = 5) -> DataFrame:
+    """(entity, cluster, area, geometry): an outline without buffer that follows the sites closer than the hull, of clusters with
+    enough sites. Inner sites count here, so a cluster's different places meet in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_group(batches, ["entity", "cluster"]):
+            points = np.unique(np.stack([group.column("lon").to_numpy(), group.column("lat").to_numpy()], axis=1), axis=0)
+            hull = convex_hull(points)
+            if len(points) < least or len(hull) < 3:
+                continue
+            ring = dug(hull, points, share)
+            text = "[[" + ",".join(f"[{x:.6f},{y:.6f}]" for x, y in [*ring, ring[0]]) + "]]"
+            yield pa.RecordBatch.from_pydict({"entity": [group.column("entity")[0].as_py()], "cluster": [group.column("cluster")[0].as_py()], "area": [area(ring)], "geometry": ['{"type":"Polygon","coordinates":' + text + "}"]})
+
+    spread = found.select("entity", "cluster", "lon", "lat").distinct().repartition("entity", "cluster").sortWithinPartitions("entity", "cluster")
+    return spread.mapInArrow(run, "entity string, cluster string, area double, geometry string")

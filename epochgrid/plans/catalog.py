@@ -53,4 +53,4 @@ query(
     name="p4_found",
 )(p4_found)
 
-from epochgrid.plans import atlas, curation, derived, quality, temporal  # noqa: E402, F401  (each registers its queries)
+from epochgrid.plans import atlas, curation, derived, display, quality, temporal  # noqa: E402, F401  (each registers its queries)

@@ -55,6 +55,12 @@ def test_clusters_and_hulls(spark):
     assert {(r["entity"], r["cluster"]): r["sites"] for r in shapes} == {k: len(v) for k, v in sizes.items() if len(v) >= 3}
     for r in shapes:
         assert abs(r["area"] - geo.area(geo.convex_hull(np.array(sizes[r["entity"], r["cluster"]])))) < 1e-9
+    one = max(shapes, key=lambda r: r["area"])
+    x, y = sizes[one["entity"], one["cluster"]][0]
+    assert (one["entity"], one["cluster"]) in {(r["entity"], r["cluster"]) for r in geo.under(geo.hulls(geo.clusters(df)), x, y).collect()}
+    whole = {(r["entity"], r["cluster"]): r["area"] for r in shapes}
+    for r in geo.concave(geo.clusters(df), 0.3).collect():
+        assert 0 < r["area"] <= whole[r["entity"], r["cluster"]] + 1e-9
     flat = next(r for r in shapes if r["cluster"] == got["a", "x1"]) if len(sizes["a", got["a", "x1"]]) == 3 else None
     assert flat is None or (flat["area"] == 0.0 and flat["corners"] == 2)
 
@@ -100,6 +106,19 @@ def test_markers(spark):
     assert on_map.markers(sites, none, 0, 12, (0, 0, 59, 2), fewest=0).filter("id in ('00', '59')").count() == 0  # borders and noise
 
 
+def test_display(spark):
+    from epochgrid.functions import display as s
+
+    years = spark.createDataFrame([(-10000,), (-1450,), (0,), (999,), (2000,)], "y int")
+    for mode in ("linear", "sqrt", "log"):
+        assert all(r[0] == r[1] for r in years.select("y", s.from_scale(s.to_scale(F.col("y"), mode), mode)).collect())
+    assert [tuple(r) for r in years.select(s.play_step(F.col("y")), s.era(F.col("y")), s.tick_label(F.col("y")), s.year_shown(F.col("y"))).collect()] == [
+        (1000, "Paleolithic", "10k BC", "10,000 BC"), (100, None, "1.5k BC", "1,450 BC"), (50, None, "0 AD", "1 BC"), (50, None, "999 AD", "999 AD"), (10, None, "2000 AD", "2,000 AD"),
+    ]
+    row = years.limit(1).select(s.marker_size(F.lit(170), 12), s.marker_size(F.lit(0), 1), s.tick_step(F.lit(200), 900), s.role_opacity(F.lit("minor")), s.role_opacity(F.lit(None))).first()
+    assert tuple(row) == (40, 6, 20, 0.17, 0.26)
+
+
 def test_queues(spark, tmp_path):
     schema = "id string, at timestamp, n int"
     inbox = tmp_path / "in"
