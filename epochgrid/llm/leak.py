@@ -154,15 +154,20 @@ class Items:
             owner = owners[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
             doc = np.searchsorted(starts, at, "right") - 1
             pair = doc * len(self.words) + owner
-            uniq, n = np.unique(pair, return_counts=True)
-            for p, c in zip(uniq, n):
-                d, i = int(p) // len(self.words), int(p) % len(self.words)
+            order = np.lexsort((at, pair))
+            pair, at = pair[order], at[order]
+            uniq, first, n = np.unique(pair, return_index=True, return_counts=True)
+            text: list[int] = []
+            held = -1
+            for p, f, c in zip(uniq.tolist(), first.tolist(), n.tolist()):
+                d, i = divmod(p, len(self.words))
                 item = self.words[i]
                 need = min(SPAN, len(item))
                 if c < max(1, need - k + 1 - k * (need // ONE_IN)):
                     continue
-                text = ids[starts[d] : starts[d] + length[d]]
-                if self._given(item, text, k, need):
+                if d != held:
+                    held, text = d, ids[starts[d] : starts[d] + length[d]].tolist()
+                if self._given(item, text, (at[f : f + c] - starts[d]).tolist(), k, need):
                     rows.append(d)
                     out.append(self.names[i])
         return rows, out
@@ -171,18 +176,18 @@ class Items:
     def short(self) -> bool:
         return any(len(w) < SPAN for w in self.words)
 
-    def _given(self, item: list[int], text: np.ndarray, k: int, need: int) -> bool:
-        known = {}
+    def _given(self, item: list[int], text: list[int], places: list[int], k: int, need: int) -> bool:
+        """Whether a span long enough runs through one of the places of the text whose k words the item has."""
+        known: dict[tuple[int, ...], list[int]] = {}
         for i in range(len(item) - k + 1):
             known.setdefault(tuple(item[i : i + k]), []).append(i)
-        text = text.tolist()
         seen: set[tuple[int, int]] = set()
-        for j in range(len(text) - k + 1):
+        for j in dict.fromkeys(places):
             for i in known.get(tuple(text[j : j + k]), ()):
-                if (i - 1, j - 1) in seen:  # inside a run that has been tried
-                    seen.add((i, j))
-                    continue
+                inside = (i - 1, j - 1) in seen  # of a run that has been tried
                 seen.add((i, j))
+                if inside:
+                    continue
                 n = k
                 while i + n < len(item) and j + n < len(text) and item[i + n] == text[j + n]:
                     n += 1

@@ -32,11 +32,12 @@ _LINK = re.compile(
     r"<a\s[^<>]*>[^<>]{0,80}</a>|\[[^\[\]\n]{0,80}\]\((?:https?://|www\.)[^()\s]*\)|\[(?:https?://|www\.)[^\[\]\n]*\]|(?:https?://|\bwww\.)[^\s<>\"\])]+"
 )
 _TAG = re.compile(r"(?<![\w&])#\w+")
-_MARKUP = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]{0,300}>|'{2,}|\*{2,}", re.S)
+_MARKUP = re.compile(r"<!--.{0,2000}?-->|</?[a-zA-Z][^<>]{0,300}>|'{2,}|\*{2,}", re.S)
 _SENTENCE = re.compile(r"(?<=[.!?।؟])[\"”’')\]]*\s+|(?<=[。؟])")
 _PARTS = re.compile(r"\s*(?:[,;:|•·/>→»]|\s[-–—*]\s|[-=]>|[.!?](?=\s|$))+\s*")
 #: A word; where writing has no spaces, a sign.
 _WORD = re.compile(r"[⺀-鿿가-힯]|[^\W_]+(?:[-'’_][^\W_]+)*")
+_SPACES = re.compile(r"[^\S\n\r]{2,}|\t")
 _DIGIT = re.compile(r"\d")
 _GAP = "\x00"
 
@@ -72,6 +73,8 @@ def _list_phrases(unit: str) -> list[tuple[str, int]]:
 
 def page_matter(text: str) -> tuple[int, int, list[tuple[str, int]]]:
     """(length, length of links and tags, list-like phrases with the length of each) of a page; white space doesn't count."""
+    if "  " in text or "\t" in text:
+        text = _SPACES.sub(" ", text)
     if "<" in text or "''" in text or "**" in text:
         text = _MARKUP.sub(_unmarked, text)
     sure = 0

@@ -8,7 +8,7 @@ import unicodedata
 
 # markup that stands inside a sentence goes without a trace, other markup parts words
 _INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|a|font|sup|sub|small|mark|code|tt|ins|del|s|q|wbr|ref)(?:\s[^<>]*)?/?>", re.I)
-_BLOCK = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]{0,300}>", re.S)
+_BLOCK = re.compile(r"<!--.{0,2000}?-->|</?[a-zA-Z][^<>]{0,300}>", re.S)
 _WIKI = re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]")
 _LINK = re.compile(r"\[([^\[\]]*)\]\([^()\s]*\)")
 _URL = re.compile(r"\b(?:https?://|www\.)[^\s<>\])\"']+")

@@ -117,6 +117,16 @@ PLAIN = {
 }
 
 
+def test_long_texts_take_no_longer_than_they_are():
+    import time
+
+    for text in (" " * 300_000 + "x", "<!--" * 50_000, "[[" * 100_000, "a|" * 200_000, "word " * 200_000, "&amp;" * 100_000, "#" * 200_000, "http://" * 50_000, "'" * 200_000):
+        began = time.time()
+        stuffing.page_matter(text)
+        words(text)
+        assert time.time() - began < 10, text[:20]
+
+
 def test_stuffed(spark):
     rows = [(k, t, f"h{k % 3}", 1) for k, t in {**SPAM, **PLAIN}.items()]
     rows += [(200 + k, SPAM[1 + k % 3], f"other{k}", 1) for k in range(8)] + [(1, SPAM[1], None, 1), (None, SPAM[4], "h", 1)]
