@@ -214,7 +214,7 @@ def anti_new_rows(spark, d):
 
 @query(
     """SELECT lower(trim(kind)) AS kind, name, CAST(count(DISTINCT site_id) AS BIGINT) AS sites, arg_min(context, struct_pack(a := site_id, b := ordinal)) FILTER (WHERE context IS NOT NULL) AS context,
-         arg_min(proposed_qid, struct_pack(a := site_id, b := ordinal)) FILTER (WHERE proposed_qid IS NOT NULL) AS proposed_qid, md5(string_agg(DISTINCT site_id, ',' ORDER BY site_id)) AS site_list
+         arg_min(proposed_qid, struct_pack(a := site_id, b := ordinal)) FILTER (WHERE proposed_qid IS NOT NULL) AS proposed_qid, min(site_id) AS first_site, max(site_id) AS last_site
        FROM dm WHERE trim(name) <> '' GROUP BY 1, 2""",
     "dm",
 )
@@ -222,8 +222,7 @@ def gap_merge(spark, d):
     m = silver.missing(spark, d, "timeline_dump").filter(F.trim("name") != "")
     at = F.struct("site_id", "ordinal")
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in ("context", "proposed_qid")]
-    sites = F.array_join(F.array_sort(F.collect_set("site_id")), ",")
-    return m.groupBy(F.lower(F.trim("kind")).alias("kind"), "name").agg(F.countDistinct("site_id").alias("sites"), *first, F.md5(sites).alias("site_list"))
+    return m.groupBy(F.lower(F.trim("kind")).alias("kind"), "name").agg(F.countDistinct("site_id").alias("sites"), *first, F.min("site_id").alias("first_site"), F.max("site_id").alias("last_site"))
 
 
 @query(
