@@ -33,7 +33,8 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not spark.sparkContext.master.startswith("local["):
+        alone = spark.sparkContext.master.split("[")[0] == "local"
+        if named is None and not alone:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="epochgrid-"))
     return df.checkpoint(eager=eager)
