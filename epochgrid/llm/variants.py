@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,10 @@ from epochgrid.operators.graph import components
 from epochgrid.session import checkpoint
 
 #: Least cosine of a pair, least average cosine of a cluster, cores of a chunk, edits by the length of the shorter core, cores of a component
-#: that are clustered (a larger one stays whole, as its pairs have passed, and never meets in one task).
+#: that are clustered in one task (a larger one is clustered by all tasks, with the same result).
 COSINE, LINKAGE, CHUNK, EDITS, DENSE = 0.3, 0.25, 1000, (0, 0, 0, 0, 0, 1, 1, 1, 2, 2, 2, 3), 3000
+#: Digits of an average cosine: equal ones stay equal however they are summed, and the pair of the smaller cores is joined first.
+DIGITS = 9
 
 # Words for kinds of entities, by class, and words that set entities of one name and kind apart.
 KINDS = {
@@ -148,7 +151,7 @@ def average_linkage(cosine: np.ndarray, size: np.ndarray, least: float) -> np.nd
     np.fill_diagonal(sums, 0)
     live = np.ones(n, bool)
     while True:
-        mean = sums / (size[:, None] * size[None, :])
+        mean = np.round(sums / (size[:, None] * size[None, :]), DIGITS)
         mean[~live] = -1
         mean[:, ~live] = -1
         np.fill_diagonal(mean, -1)
@@ -199,10 +202,10 @@ _POSTED = pa.schema(
 )
 
 
-def _vectors(group: pa.Table) -> np.ndarray:
+def _vectors(group: pa.Table, kind: type = np.float32) -> np.ndarray:
     rows = group.column("grams").to_pylist()
     dims = {g: i for i, g in enumerate(sorted({g for r in rows for g in r}))}
-    out = np.zeros((len(rows), len(dims)), np.float32)
+    out = np.zeros((len(rows), len(dims)), kind)
     for i, (r, w) in enumerate(zip(rows, group.column("weights").to_pylist())):
         out[i, [dims[g] for g in r]] = w
     return out
@@ -233,7 +236,7 @@ def _clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in by_group(batches, ["component"]):
         cores = group.column("core").to_pylist()
         size = group.column("names").to_numpy().astype(float)
-        vectors = _vectors(group)
+        vectors = _vectors(group, np.float64)
         found = average_linkage(vectors @ vectors.T, size, LINKAGE)
         least: dict[int, str] = {}
         for k, c in zip(found, cores):
@@ -241,6 +244,91 @@ def _clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"core": cores, "cluster": [least[k] for k in found]}, schema=pa.schema([("core", pa.string()), ("cluster", pa.string())]))
 
 
+_STATE = "component string, cluster string, size double, grams array<struct<df: bigint, gram: string, weight: double>>"
+_MEANS = pa.schema(
+    [("component", pa.string()), ("gram", pa.string()), ("block", pa.int64()), ("cluster", pa.string()), ("grams", pa.list_(pa.string())), ("weights", pa.list_(pa.float64()))]
+)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Clusters with each trigram once, the rarest first."""
+    for batch in batches:
+        grams = []
+        for row in batch.column("grams").to_pylist():
+            sums: dict[tuple[int, str], float] = {}
+            for g in row:
+                sums[g["df"], g["gram"]] = sums.get((g["df"], g["gram"]), 0.0) + g["weight"]
+            grams.append([{"df": df, "gram": gram, "weight": sums[df, gram]} for df, gram in sorted(sums)])
+        at = batch.schema.get_field_index("grams")
+        yield batch.set_column(at, batch.schema.field(at), pa.array(grams, batch.schema.field(at).type))
+
+
+def _means(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    """Posts each cluster's mean vector as ``_weights`` does cores; no more clusters than cores hold a trigram, so chunks suffice."""
+    for batch in batches:
+        rows: dict[str, list] = {k: [] for k in _MEANS.names}
+        for r in batch.to_pylist():
+            grams = [g["gram"] for g in r["grams"]]
+            w = np.array([g["weight"] for g in r["grams"]]) / r["size"]
+            left = (w * w).sum() - np.cumsum(w * w)
+            last = int(np.argmax(left < (LINKAGE - 1e-6) ** 2))
+            for g in r["grams"][: last + 1]:
+                chunks = -(-g["df"] // chunk)
+                own = hash_of(r["cluster"]) % chunks
+                for other in range(chunks):
+                    block = min(own, other) * 100_000 + max(own, other)
+                    for k, v in zip(_MEANS.names, (r["component"], g["gram"], block, r["cluster"], grams, w)):
+                        rows[k].append(v)
+        yield pa.RecordBatch.from_pydict(rows, schema=_MEANS)
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for group in by_group(batches, ["component", "gram", "block"]):
+        if group.num_rows < 2:
+            continue
+        vectors = _vectors(group, np.float64)
+        mean = np.round(vectors @ vectors.T, DIGITS)
+        mean = np.maximum(mean, mean.T)
+        np.fill_diagonal(mean, -1)
+        other = mean.argmax(axis=1)
+        most = mean[np.arange(len(other)), other]
+        keep = np.flatnonzero(most >= LINKAGE)
+        names = group.column("cluster").to_pylist()
+        yield pa.RecordBatch.from_pydict(
+            {"cluster": [names[i] for i in keep], "other": [names[other[i]] for i in keep], "mean": most[keep]},
+            schema=pa.schema([("cluster", pa.string()), ("other", pa.string()), ("mean", pa.float64())]),
+        )
+
+
+def parted(state: DataFrame) -> DataFrame:
+    """(core, cluster) of components too large for one task: average linkage in rounds. ``state`` has a cluster for each core.
+
+    The average cosine of two clusters is the product of their mean vectors. Each round joins all clusters that are each other's
+    nearest; joining others never brings a cluster nearer than its nearest was, so the result is that of one join at a time.
+    A cluster with none near enough is done for the same reason.
+    """
+    state = checkpoint(state)
+    cores = state.select(F.col("cluster").alias("core"))
+    moves = None
+    while True:
+        posted = state.mapInArrow(partial(_means, chunk=CHUNK), "component string, gram string, block bigint, cluster string, grams array<string>, weights array<double>")
+        posted = posted.repartition("component", "gram", "block").sortWithinPartitions("component", "gram", "block", "cluster")
+        near = posted.mapInArrow(_nearest, "cluster string, other string, mean double")
+        order = F.struct((-F.col("mean")).alias("far"), F.least("cluster", "other").alias("low"), F.greatest("cluster", "other").alias("high"))
+        best = checkpoint(near.groupBy("cluster").agg(F.min(order).alias("best")).select("cluster", "best.low", "best.high"))
+        pairs = checkpoint(best.groupBy("low", "high").count().filter("count = 2").select("low", "high"))
+        if pairs.isEmpty():
+            break
+        moves = pairs if moves is None else moves.unionByName(pairs)
+        live = state.join(best.select("cluster"), "cluster", "left_semi").join(pairs.withColumnRenamed("high", "cluster"), "cluster", "left")
+        joined = live.groupBy("component", F.coalesce("low", "cluster").alias("cluster")).agg(F.sum("size").alias("size"), F.flatten(F.collect_list("grams")).alias("grams"))
+        state = checkpoint(joined.mapInArrow(_summed, _STATE))
+    if moves is None:
+        return cores.withColumn("cluster", F.col("core"))
+    named = components(moves, "low", "high").select(F.col("node").alias("core"), F.col("component").alias("cluster"))
+    return cores.join(named, "core", "left").select("core", F.coalesce("cluster", "core").alias("cluster"))
+
+
 def entities(names: DataFrame, name: str, kind: str) -> DataFrame:
     """(name, entity) of each different name: names with one entity mean the same.
 
@@ -281,7 +369,7 @@ def entities(names: DataFrame, name: str, kind: str) -> DataFrame:
         postings.repartition("gram", "block").sortWithinPartitions("gram", "block").mapInArrow(_pairs, "a string, b string, how int, cosine double").distinct()
     )
     linked = checkpoint(components(pairs.filter("how = 1"), "a", "b"))
-    vast = linked.groupBy("component").count().filter(F.col("count") > DENSE).select("component", F.lit(True).alias("vast"))
+    vast = checkpoint(linked.groupBy("component").count().filter(F.col("count") > DENSE).select("component", F.lit(True).alias("vast")))
     linked = linked.join(vast, "component", "left")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,8 +384,14 @@ def entities(names: DataFrame, name: str, kind: str) -> DataFrame:
 
     members = vectors.join(linked.filter("vast is null"), vectors.core == F.col("node")).drop("node", "vast")
     members = members.mapInArrow(weigh, "component string, core string, names bigint, grams array<string>, weights array<double>")
-    clusters = members.repartition("component").sortWithinPartitions("component").mapInArrow(_clusters, "core string, cluster string")
-    clusters = clusters.unionByName(linked.filter("vast").select(F.col("node").alias("core"), F.col("component").alias("cluster")))
+    clusters = members.repartition("component").sortWithinPartitions("component", "core").mapInArrow(_clusters, "core string, cluster string")
+    if not vast.isEmpty():
+        weight = F.transform("grams", lambda g: F.struct(g["df"].alias("df"), g["gram"].alias("gram"), F.log(1 + F.col("total") / (g["df"] + 0.002 * F.col("total"))).alias("weight")))
+        length = F.sqrt(F.aggregate("grams", F.lit(0.0), lambda a, g: a + g["weight"] * g["weight"]))
+        unit = F.transform("grams", lambda g: F.struct(g["df"].alias("df"), g["gram"].alias("gram"), (g["weight"] * F.col("size") / F.col("length")).alias("weight")))
+        large = vectors.join(linked.filter("vast"), vectors.core == F.col("node")).select("component", F.col("core").alias("cluster"), F.col("names").cast("double").alias("size"), weight.alias("grams"))
+        large = large.withColumn("length", length).select("component", "cluster", "size", unit.alias("grams"))
+        clusters = clusters.unionByName(parted(large.mapInArrow(_summed, _STATE)))
     placed = checkpoint(
         read.join(clusters, "core", "left").select("name", "kinds", "side", "core", F.coalesce("cluster", "core").alias("cluster"))
     )

@@ -100,3 +100,26 @@ def test_chunks_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(variants, "DENSE", 3000)
     monkeypatch.setattr(variants, "CHUNK", 7)
     assert one and {tuple(r) for r in variants.linked_names(df, "name", "kind").collect()} == one
+
+
+def test_vast_components_are_parted(spark, monkeypatch):
+    random.seed(5)
+    names = set()
+    for _ in range(3):  # chains: neighbours are two edits apart, the ends are different entities
+        core = [random.choice("bdfglmnprtvz") if i % 2 == 0 else random.choice("aeiou") for i in range(12)]
+        for step in range(30):
+            i = step % 12
+            core[i] = random.choice("bdfglmnprtvz" if i % 2 == 0 else "aeiou")
+            names.add("Kingdom of " + "".join(core).title())
+    df = spark.createDataFrame([(n, "polity") for n in sorted(names)], "name string, kind string")
+
+    def linked():
+        return {tuple(r) for r in variants.linked_names(df, "name", "kind").collect()}
+
+    small = linked()
+    monkeypatch.setattr(variants, "DENSE", 2)
+    assert linked() == small
+    monkeypatch.setattr(variants, "CHUNK", 7)
+    assert linked() == small
+    monkeypatch.setattr(variants, "parted", lambda state: state.selectExpr("cluster AS core", "component AS cluster"))
+    assert small < linked()  # whole components hold links that average linkage parts
