@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from epochgrid.functions.text import normalised, plain_name, significant
 from epochgrid.operators.arrow import by_group
+from epochgrid.session import checkpoint
 
 ENTITY_TRACKS, LISTED_ONLY = ["polity", "culture", "religion", "language"], ["religion", "language"]
 # The types of events; words that say nothing about a name; notes that own a QID to be wrong.
@@ -42,17 +43,18 @@ def known_bounds(entities: DataFrame) -> DataFrame:
     )
 
 
-def bounded(entries: DataFrame, entities: DataFrame) -> DataFrame:
+def bounded(entries: DataFrame, entities: DataFrame, how: str = "inner") -> DataFrame:
     """Entries of entity tracks held against the bounds of their entities, with ``actions``.
 
     An entry apart from its entity's life is incompatible and stays as it is; one that begins before is shortened, one that
     runs on is closed, an entry may be both. Its end is its own, else that of the next entry (step tracks) or of the entity's next.
-    ``new_from`` and ``new_to`` hold the result, ``from_circa`` whether a rough bound made the start rough.
+    ``new_from`` and ``new_to`` hold the result, ``from_circa`` whether a rough bound made the start rough. With ``how`` left,
+    entries without a known bound stay, as they are.
     """
     rows = entries.filter(F.col("track").isin(ENTITY_TRACKS) & F.col("from_year").isNotNull()).withColumn("key", F.coalesce("qid", "label"))
     step = F.col("track").isin("polity", "culture")
     after = F.when(step, F.lead("from_year").over(_in_order("site_id", "track"))).otherwise(F.lead("from_year").over(_in_order("site_id", "track", "key")))
-    rows = rows.withColumn("end", F.coalesce("to_year", after)).join(known_bounds(entities), "qid")
+    rows = rows.withColumn("end", F.coalesce("to_year", after)).join(known_bounds(entities), "qid", how)
     born, died, end = F.col("inception"), F.col("dissolution"), F.col("end")
     false = F.lit(False)
     apart = F.coalesce(F.col("from_year") > died, false) | F.coalesce(end < born, false)
@@ -145,13 +147,13 @@ def fold(rows: list[tuple[int, int | None, int]]) -> list[tuple[int, int | None,
     return [(a, b, k) for a, b, k in kept]
 
 
-def folded(entries: DataFrame) -> DataFrame:
+def folded(entries: DataFrame, tracks: list[str] = LISTED_ONLY) -> DataFrame:
     """(site_id, track, entity, ordinal, from_year, to_year) of co-occurrent entries after closing instructions are carried out.
 
     Instructions match open entries like brackets, which no window can tell; only entities that have one go to Python. Then an
     open twin of a closed entry goes, and so do ends that the entity's next entry makes redundant.
     """
-    rows = entries.filter(F.col("track").isin(LISTED_ONLY) & F.col("entity").isNotNull() & F.col("from_year").isNotNull())
+    rows = entries.filter(F.col("track").isin(tracks) & F.col("entity").isNotNull() & F.col("from_year").isNotNull())
     rows = rows.select("site_id", "track", "entity", "ordinal", "from_year", "to_year")
     keys = ["site_id", "track", "entity"]
     told = F.max(F.coalesce(F.col("to_year") <= F.col("from_year"), F.lit(False))).over(Window.partitionBy(*keys))
@@ -184,6 +186,58 @@ def unresolved(missing: DataFrame, entries: DataFrame) -> DataFrame:
     return wanted.join(named.filter("key <> ''"), ["site_id", "kind", "key"], "left_anti").drop("key")
 
 
+def normalised_entries(entries: DataFrame) -> DataFrame:
+    """All entries after the policy of their track: closing instructions of entity tracks are carried out, one state at a time,
+    redundant ends of site types and all ends of names and populations go. Entries without a start stay as they are."""
+    entries = entries.withColumn("entity", F.coalesce("entity", F.lit("")))
+    started = F.col("from_year").isNotNull()
+    done = folded(entries, ENTITY_TRACKS).join(entries.drop("from_year", "to_year"), ["site_id", "track", "entity", "ordinal"]).select(entries.columns)
+    rest = entries.filter(~(started & F.col("track").isin("site_type", *ENTITY_TRACKS)))
+    rest = rest.withColumn("to_year", F.when(~F.col("track").isin("name", "population"), F.col("to_year")))
+    return (
+        exclusive_state(done)
+        .unionByName(done.filter(~F.col("track").isin(LISTED_ONLY)))
+        .unionByName(without_redundant_ends(entries).select(entries.columns))
+        .unionByName(rest)
+    )
+
+
+def processed(entries: DataFrame, events: DataFrame, missing: DataFrame, entities: DataFrame) -> DataFrame:
+    """Whole timelines normalised, then their QIDs checked, then held against the bounds of entities, in this order:
+    (site_id, track, ordinal, kind, label, qid, role, reason, new_from, new_to, from_circa, actions).
+
+    ``entries`` need ``notes``. ``qid`` is what the check leaves, ``reason`` why it took one away; each name it was taken from is
+    a missing entity, if it isn't already. Events of unknown types go, and so do missing entities without a name or with that
+    of an entry with a QID. For events ``label`` is the type, for missing entities ``qid`` the proposed one.
+    """
+    rows = checkpoint(normalised_entries(entries))
+    key = normalised(F.col("label"))
+    resolved = rows.filter((F.trim("qid") != "") & (F.col("label") != "")).select("site_id", key.alias("key")).distinct()
+    open_ = missing.filter(F.trim("name") != "").withColumn("key", normalised(F.col("name"))).join(resolved, ["site_id", "key"], "left_anti")
+    told = checked_qids(rows, entities).select(*rows.columns, "reason").drop("notes")
+    silent = rows.filter(~(F.col("track").isin(ENTITY_TRACKS) & F.col("qid").isNotNull())).drop("notes")
+    checked = checkpoint(told.unionByName(silent, allowMissingColumns=True))
+    taken = checked.filter(F.col("reason").isNotNull() & (F.col("label") != "")).select("site_id", F.col("track").alias("kind"), key.alias("key"), "label", "ordinal", "reason")
+    taken = taken.groupBy("site_id", "kind", "key").agg(F.min_by(F.struct("label", "reason"), F.struct(F.col("reason") != "confessed", "ordinal")).alias("first"))
+    taken = taken.join(open_.select("site_id", "kind", "key").distinct(), ["site_id", "kind", "key"], "left_anti")
+    last = open_.groupBy("site_id").agg(F.max("ordinal").alias("last"))
+    position = F.row_number().over(Window.partitionBy("site_id").orderBy("kind", "key"))
+    added = taken.join(last, "site_id", "left").select("site_id", (F.coalesce("last", F.lit(-1)) + position).alias("ordinal"), "kind", F.col("first.label").alias("label"), F.col("first.reason").alias("reason"))
+    known = checked.withColumn("qid", F.when(F.col("reason").isNull(), F.col("qid")))
+    on_entities = F.col("track").isin(ENTITY_TRACKS) & F.col("from_year").isNotNull()
+    held = bounded(known, entities, "left")
+    others = known.filter(~on_entities).withColumnsRenamed({"from_year": "new_from", "to_year": "new_to"})
+    happened = events.filter(F.col("type").isin(EVENT_TYPES)).select("site_id", F.lit("events").alias("track"), "ordinal", F.col("type").alias("label"), F.col("year").alias("new_from"))
+    lacking = open_.select("site_id", "ordinal", "kind", F.col("name").alias("label"), F.col("proposed_qid").alias("qid")).unionByName(added, allowMissingColumns=True)
+    out = held.select("site_id", "track", "ordinal", "label", "qid", "role", "reason", "new_from", "new_to", "from_circa", "actions")
+    for part in (others, happened, lacking.withColumn("track", F.lit("missing_entities"))):
+        out = out.unionByName(part.select(*[c for c in [*out.columns, "kind"] if c in part.columns]), allowMissingColumns=True)
+    return out.select(
+        "site_id", "track", "ordinal", "kind", "label", "qid", "role", "reason", "new_from", "new_to",
+        F.coalesce("from_circa", F.lit(False)).alias("from_circa"), F.coalesce("actions", F.array().cast("array<string>")).alias("actions"),
+    )
+
+
 def backfilled(entries: DataFrame, entities: DataFrame) -> DataFrame:
     """Entries of entity tracks without a QID, with ``found``: that of the one active entity of their kind and normalised name."""
     known = entities.filter("active").select(F.col("kind").alias("track"), plain_name(F.col("label_en")).alias("key"), "qid").filter("key <> ''")

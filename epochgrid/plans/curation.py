@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from epochgrid.functions.text import entity_key
 from epochgrid.operators import curation as c
 from epochgrid.operators import quality as q
+from epochgrid.operators.timelines import TRACKS, timeline_items
 from epochgrid.plans.registry import query
+from epochgrid.session import checkpoint
 from epochgrid.sources import silver
 from epochgrid.sources.tables import table
 
@@ -161,11 +164,16 @@ def referential_search(spark, d):
 
 @query()
 def extraction_pipeline(spark, d):
-    """Closing instructions, then one state at a time, then the bounds of the entities, in this order."""
-    raw = silver.entries(spark, d, q.LISTED_ONLY)
-    done = q.folded(raw).join(raw.drop("from_year", "to_year"), ["site_id", "track", "entity", "ordinal"])
-    held = q.bounded(q.exclusive_state(done), table(spark, d, "wikidata_entities"))
-    return held.select("site_id", "track", "ordinal", "qid", "new_from", "new_to", F.array_join("actions", ",").alias("actions"))
+    """Whole timelines normalised, then their QIDs checked, then the bounds of the entities, in this order."""
+    columns = ["record_id", "section", "ordinal", "year", "to_year", "label", "qid", "role", "notes", "kind", "proposed_qid"]
+    items = checkpoint(timeline_items(silver.sites(spark, d).filter("timeline is not null"), "id", "timeline", columns).withColumnRenamed("record_id", "site_id"))
+    qid, proposed = (F.when(F.trim(c) != "", F.trim(c)) for c in ("qid", "proposed_qid"))
+    rows = items.filter(F.col("section").isin(TRACKS))
+    entries = rows.select("site_id", F.col("section").alias("track"), "ordinal", F.col("year").alias("from_year"), "to_year", "label", qid.alias("qid"), "role", "notes", entity_key(qid, F.col("label")).alias("entity"))
+    events = items.filter("section = 'events'").select("site_id", "ordinal", "year", F.col("label").alias("type"))
+    missing = items.filter("section = 'missing_entities'").select("site_id", "ordinal", "kind", F.col("label").alias("name"), proposed.alias("proposed_qid"))
+    done = q.processed(entries, events, missing, table(spark, d, "wikidata_entities"))
+    return done.withColumn("actions", F.array_join("actions", ","))
 
 
 @query("SELECT CAST(time_bucket(INTERVAL 1 day, ts) AS TIMESTAMP) AS start, event_type, CAST(count(*) AS BIGINT) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

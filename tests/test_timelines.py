@@ -124,6 +124,34 @@ def test_qids(spark):
     assert got == [None, "wrong_track", "wrong_name", "several_names", "several_names", "not_listed", "several_names", "several_names", "confessed", None]
 
 
+def test_whole_pipeline(spark):
+    known = spark.createDataFrame(
+        [("Q1", "religion", "Blue Rite", True, 100, 7, 900), ("Q2", "polity", "Kingdom of Ash", True, 300, 9, 400), ("Q3", "language", "Old Tongue", True, None, None, None)],
+        "qid string, kind string, label_en string, active boolean, inception int, inception_precision int, dissolution int",
+    )
+    rows = [
+        ("site_type", 1, 50, "town", None, None), ("site_type", 40, None, "city", None, None),  # a redundant end
+        ("polity", 200, None, "Ash", "Q2", None), ("polity", 350, 350, "Ash", "Q2", None),  # a closing instruction, then shortened
+        ("polity", 500, None, "Oak empire", "Q2", None),  # loses its QID, so isn't incompatible
+        ("culture", 10, None, "Hill folk", None, None), ("culture", None, 30, "Dune folk", None, None), ("culture", 60, 70, None, None, None),
+        ("religion", 50, None, "Blue rite", "Q1", "state"), ("religion", 600, None, "New rite", "Q8", "state"),  # one state, then shortened; not listed
+        ("language", 5, None, "Old tongue", "Q3", "major"), ("name", 1, 9, "Ashton", None, None), ("population", 7, 8, "500", None, None),
+    ]
+    e = entries(spark, rows).withColumn("notes", F.lit(None).cast("string"))
+    events = spark.createDataFrame([("s", 0, 90, "fire"), ("s", 1, 91, "party")], "site_id string, ordinal int, year bigint, type string")
+    missing = spark.createDataFrame([("s", 0, "polity", " ", None), ("s", 1, "language", "OLD  tongue", None), ("s", 2, "religion", "New Rite", "Q80"), ("s", 3, "culture", "Hill folk", None)], "site_id string, ordinal int, kind string, name string, proposed_qid string")
+    got = {tuple(r[c] for c in ("track", "ordinal", "kind", "label", "qid", "reason", "new_from", "new_to", "from_circa")) + (",".join(r["actions"]),) for r in q.processed(e, events, missing, known).collect()}
+    assert got == {
+        ("site_type", 0, None, "town", None, None, 1, None, False, ""), ("site_type", 1, None, "city", None, None, 40, None, False, ""),
+        ("polity", 2, None, "Ash", "Q2", None, 300, 350, False, "shorten"), ("polity", 4, None, "Oak empire", None, "wrong_name", 500, None, False, ""),
+        ("culture", 5, None, "Hill folk", None, None, 10, None, False, ""), ("culture", 6, None, "Dune folk", None, None, None, 30, False, ""), ("culture", 7, None, None, None, None, 60, 70, False, ""),
+        ("religion", 8, None, "Blue rite", "Q1", None, 100, 600, True, "shorten"), ("religion", 9, None, "New rite", None, "not_listed", 600, None, False, ""),
+        ("language", 10, None, "Old tongue", "Q3", None, 5, None, False, ""), ("name", 11, None, "Ashton", None, None, 1, None, False, ""), ("population", 12, None, "500", None, None, 7, None, False, ""),
+        ("events", 0, None, "fire", None, None, 90, None, False, ""), ("missing_entities", 5, "religion", "New rite", None, "not_listed", None, None, False, ""),  # resolved at first, then recorded anew
+        ("missing_entities", 3, "culture", "Hill folk", None, None, None, None, False, ""), ("missing_entities", 4, "polity", "Oak empire", None, "wrong_name", None, None, False, ""),
+    }
+
+
 def test_functions(spark):
     c = F.col
     rows = spark.createDataFrame([(0, None), (0, "u"), (3, "u"), (10, "u"), (100, "u"), (1000, "u"), (None, None)], "n int, url string")
