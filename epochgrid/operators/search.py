@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epochgrid.functions.numbers import base_importance
 from epochgrid.functions.text import normalised
 
 LEAST = 0.3
@@ -93,3 +94,11 @@ def found(texts: DataFrame, text: str, needle: str, fuzzy: bool = True) -> DataF
         rows = rows.filter((F.col("score") > 0) | maybe)
     rows = rows.withColumn("score", F.greatest("score", F.when(F.col("score") < 1, similarity("__have")).otherwise(F.lit(0.0))))
     return rows.filter(F.col("score") >= LEAST).drop("__have")
+
+
+def found_sites(sites: DataFrame, names: DataFrame, needle: str, limit: int) -> DataFrame:
+    """(id, title_en, score) of the sites any of whose names is found: the best score first, then the most important, then by id."""
+    hits = found(search_text(sites, names), "search_text", needle).select("id", "score")
+    base = base_importance(F.col("sitelinks_count"), F.col("wikipedia_page_en_url")).alias("base")
+    rows = hits.join(sites.select("id", "title_en", base), "id")
+    return rows.orderBy(F.col("score").desc(), F.col("base").desc(), "id").limit(limit).select("id", "title_en", "score")

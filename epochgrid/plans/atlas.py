@@ -285,8 +285,8 @@ def search_exact(spark, d):
 
 @query()
 def search_fuzzy(spark, d):
-    found = search.found(silver.sites(spark, d).select("id", "title_en"), "title_en", "Velothburg")
-    return found.orderBy(F.col("score").desc(), "id").limit(20)
+    names = silver.entries(spark, d, ["name"]).select("site_id", F.col("label").alias("name")).filter("name is not null")
+    return search.found_sites(silver.sites(spark, d), names, "Velothburg", 20)
 
 
 #: Degrees within which sites of an entity belong together; the test data hold too few for the usual five.

@@ -87,6 +87,19 @@ def test_search(spark):
     assert {tuple(r) for r in search.search_text(sites, told).collect()} == {("1", "A B C D"), ("2", None)}
 
 
+def test_search_by_any_name(spark, monkeypatch):
+    from epochgrid.plans import atlas
+
+    rows = [(f"{k:02}", None if k else "Elsewhere", {"fr": "Velothburg"}, None, 100 - k if k < 5 else k, None) for k in range(25)] + [("x", "Other", {}, None, 1000, None)]
+    sites = spark.createDataFrame(rows, "id string, title_en string, names map<string,string>, meta string, sitelinks_count int, wikipedia_page_en_url string")
+    told = spark.createDataFrame([("x", "name", "Velothburg")], "site_id string, track string, label string")
+    monkeypatch.setattr(atlas.silver, "sites", lambda s, d: sites)
+    monkeypatch.setattr(atlas.silver, "entries", lambda s, d, tracks: told)
+    got = atlas.search_fuzzy(spark, "").collect()
+    assert {r["score"] for r in got} == {1.0} and [r["id"] for r in got][:6] == ["x", "00", "01", "02", "03", "04"]
+    assert sorted(r["id"] for r in got[6:]) == [f"{k}" for k in range(11, 25)]  # of equal scores the least important fall out
+
+
 def test_merge(spark):
     old = spark.createDataFrame([("a", 1, 1, 1), ("b", 2, 2, 2), (None, 9, 9, 9)], "id string, x int, y int, z int")
     new = spark.createDataFrame([("a", None, None, 5), ("c", 7, None, 7)], "id string, x int, y int, z int")
