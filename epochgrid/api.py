@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochgrid.functions.numbers import BASE_ZOOM, ZOOM
+from epochgrid.functions.text import role_rank
 from epochgrid.operators import geo, quality, search, temporal
 from epochgrid.operators.sites import markers as markers_of
 from epochgrid.sources import silver
@@ -77,11 +78,10 @@ class Atlas:
         placed = self.sites.filter((F.col("enrichment_level") == "extracted") & alive).filter("lon between -180 and 180 and lat between -90 and 90")
         lived = temporal.occupied(self.sites, self.entries(["site_type"]), year).filter("occupied").select(F.col("site_id").alias("id"))
         placed = placed.select("id", "lon", "lat").join(lived, "id", "left_semi")
-        named = now.filter(F.col("qid").isNotNull() & ~F.col("qid").startswith("local_")).select(F.struct("qid", F.col("label").alias("name")).alias("entity"), F.col("site_id").alias("id"))
-        found = geo.clusters(named.withColumn("entity", F.to_json("entity")).join(placed, "id"), radius)
-        shapes = geo.hulls(found).withColumn("e", F.from_json("entity", "qid string, name string")).select("e.qid", "e.name", "sites", "geometry")
+        named = now.filter(F.col("qid").isNotNull() & ~F.col("qid").startswith("local_")).select("qid", F.col("label").alias("name"), role_rank(F.col("role")).alias("rank"), F.col("site_id").alias("id"))
+        shapes = geo.territories(named.join(placed, "id"), radius).select("qid", "name", "sites", "top_rank", "geometry")
         families = self.entities.select("qid", "family_label")
-        return features(shapes.join(families, "qid", "left"), ["qid", "name", "family_label", "sites"])
+        return features(shapes.join(families, "qid", "left"), ["qid", "name", "family_label", "sites", "top_rank"])
 
     def conflicts(self) -> DataFrame:
         return quality.conflicts(quality.bounded(self.entries(KINDS), self.entities))

@@ -13,6 +13,8 @@ from epochgrid.operators.arrow import by_group
 from epochgrid.operators.graph import components
 
 RADIUS, BUFFER, SITES = 5.0, 0.08, 3
+#: Sites from which an outline is concave, and how long its edges may be, as a share of the longest of the hull.
+BENT, SHARE = 5, 0.75
 
 
 def clusters(points: DataFrame, radius: float = RADIUS) -> DataFrame:
@@ -98,6 +100,53 @@ def area(ring: np.ndarray) -> float:
     return abs(float((x * np.roll(y, -1) - y * np.roll(x, -1)).sum())) / 2
 
 
+def outer(curve: np.ndarray) -> np.ndarray:
+    """The outermost boundary, counter-clockwise, of a closed curve that may cross itself."""
+    a, b = curve, np.roll(curve, -1, axis=0)
+    keep = np.hypot(*(b - a).T) > 1e-12
+    a, d = a[keep], (b - a)[keep]
+    cuts: list[list[float]] = [[0.0, 1.0] for _ in a]
+    for i in range(len(a)):
+        turn = d[i, 0] * d[:, 1] - d[i, 1] * d[:, 0]
+        ok = np.abs(turn) > 1e-18
+        w, turn = a - a[i], np.where(ok, turn, 1)
+        t, u = (w[:, 0] * d[:, 1] - w[:, 1] * d[:, 0]) / turn, (w[:, 0] * d[i, 1] - w[:, 1] * d[i, 0]) / turn
+        cuts[i] += t[ok & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)].tolist()
+    links: dict[tuple, set[tuple]] = {}
+    for p, step, ts in zip(a, d, cuts):
+        ends = [tuple(np.round(p + t * step, 9).tolist()) for t in sorted(set(ts))]
+        for x, y in zip(ends, ends[1:]):
+            if x != y:
+                links.setdefault(x, set()).add(y)
+                links.setdefault(y, set()).add(x)
+    here = start = min(links, key=lambda p: (p[1], p[0]))
+    came, ring = np.pi, [start]
+
+    def turned(q: tuple) -> float:  # from where the walk came; back the way it came is last
+        angle = (np.arctan2(q[1] - here[1], q[0] - here[0]) - came) % (2 * np.pi)
+        return angle if angle > 1e-9 else 2 * np.pi
+
+    while True:
+        after = min(links[here], key=turned)
+        came, here = np.arctan2(here[1] - after[1], here[0] - after[0]), after
+        if here == start or len(ring) > 4 * len(links):
+            return np.array(ring)
+        ring.append(here)
+
+
+def widened(ring: np.ndarray, buffer: float) -> np.ndarray:
+    """A simple polygon, counter-clockwise, widened by a circle as a polygon of 16 corners; a hole that closes is filled."""
+    raw = []
+    for k, q in enumerate(ring):
+        into, out = q - ring[k - 1], ring[(k + 1) % len(ring)] - q
+        first = np.arctan2(into[1], into[0]) - np.pi / 2
+        turn = (np.arctan2(out[1], out[0]) - np.pi / 2 - first + np.pi) % (2 * np.pi) - np.pi
+        steps = max(1, int(np.ceil(turn / (np.pi / 8))))
+        arc = [q + buffer * np.array([np.cos(first + turn * i / steps), np.sin(first + turn * i / steps)]) for i in range(steps + 1)]
+        raw += arc if turn >= 0 else [arc[0], q, arc[-1]]
+    return outer(np.array(raw))
+
+
 def clipped(ring: np.ndarray, window: np.ndarray) -> np.ndarray:
     """A polygon cut to a convex window whose corners run counter-clockwise."""
     out = [tuple(p) for p in ring]
@@ -150,6 +199,44 @@ def hulls(found: DataFrame, least: int = SITES, buffer: float = BUFFER) -> DataF
     return spread.mapInArrow(join, "entity string, cluster string, sites bigint, corners bigint, area double, geometry string, west double, south double, east double, north double")
 
 
+def outlines(found: DataFrame, least: int = SITES, bent: int = BENT, share: float = SHARE, buffer: float = BUFFER) -> DataFrame:
+    """As ``hulls``, but the outline of clusters of ``bent`` sites or more is concave. Inner sites count here, so a cluster's different
+    places meet in one task."""
+    circle = buffer * np.stack([np.cos(np.arange(16) * np.pi / 8), np.sin(np.arange(16) * np.pi / 8)], axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_group(batches, ["entity", "cluster"]):
+            n = int(group.column("n").to_numpy().sum())
+            if n < least:
+                continue
+            points = np.stack([group.column("lon").to_numpy(), group.column("lat").to_numpy()], axis=1)
+            ring = convex_hull(points)
+            if n >= bent and len(ring) > 2:
+                ring = dug(ring, points, share)
+                wide = widened(ring, buffer)
+            else:
+                wide = convex_hull((ring[:, None, :] + circle[None, :, :]).reshape(-1, 2))
+            text = "[[" + ",".join(f"[{x:.6f},{y:.6f}]" for x, y in [*wide, wide[0]]) + "]]"
+            yield pa.RecordBatch.from_pydict(
+                {"entity": [group.column("entity")[0].as_py()], "cluster": [group.column("cluster")[0].as_py()], "sites": [n], "corners": [len(ring)], "area": [area(ring) if len(ring) > 2 else 0.0], "geometry": ['{"type":"Polygon","coordinates":' + text + "}"],
+                 "west": [wide[:, 0].min()], "south": [wide[:, 1].min()], "east": [wide[:, 0].max()], "north": [wide[:, 1].max()]}
+            )
+
+    places = found.groupBy("entity", "cluster", "lon", "lat").agg(F.count("*").alias("n"))
+    spread = places.repartition("entity", "cluster").sortWithinPartitions("entity", "cluster", "lon", "lat")
+    return spread.mapInArrow(run, "entity string, cluster string, sites bigint, corners bigint, area double, geometry string, west double, south double, east double, north double")
+
+
+def territories(rows: DataFrame, radius: float = RADIUS) -> DataFrame:
+    """The ``outlines`` of (qid, name, rank, id, lon, lat) by (qid, name, cluster), with the least rank as ``top_rank``. All sites of a QID
+    cluster together; its names are told apart only after, so sites of one name may be joined through one of another."""
+    found = clusters(rows.withColumnRenamed("qid", "entity"), radius).withColumnRenamed("entity", "qid").select("qid", "id", "cluster").distinct()
+    named = rows.join(found, ["qid", "id"]).withColumn("entity", F.to_json(F.struct("qid", "name")))
+    top = named.groupBy("entity", "cluster").agg(F.min("rank").alias("top_rank"))
+    shapes = outlines(named.select("entity", "cluster", "id", "lon", "lat").distinct()).join(top, ["entity", "cluster"])
+    return shapes.withColumn("e", F.from_json("entity", "qid string, name string")).select("e.qid", "e.name", *[c for c in shapes.columns if c != "entity"])
+
+
 def under(shapes: DataFrame, lon: float, lat: float) -> DataFrame:
     """The shapes whose box holds a place."""
     return shapes.filter(F.lit(lon).between(F.col("west"), F.col("east")) & F.lit(lat).between(F.col("south"), F.col("north")))

@@ -334,7 +334,7 @@ def country_clusters(spark, d):
 
 @query()
 def country_hulls(spark, d):
-    return geo.hulls(_by_country(spark, d))
+    return geo.outlines(_by_country(spark, d))
 
 
 @query(

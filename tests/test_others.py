@@ -1,5 +1,6 @@
 """Graphs, shapes, search, merges, markers and queues on small fixtures."""
 
+import json
 import random
 
 import numpy as np
@@ -65,6 +66,35 @@ def test_clusters_and_hulls(spark):
     assert flat is None or (flat["area"] == 0.0 and flat["corners"] == 2)
 
 
+def test_outlines_are_concave_from_five_sites(spark):
+    u = [(0, 0), (0, 4), (1, 4), (1.5, 0.6), (3, 4), (4, 4), (4, 0)]
+    rows = [("u", str(k), "0", float(x), float(y)) for k, (x, y) in enumerate(u)] + [("t", str(k), "0", float(x), float(y)) for k, (x, y) in enumerate([(0, 0), (4, 0), (4, 4), (2, 1)])]
+    found = spark.createDataFrame(rows, "entity string, id string, cluster string, lon double, lat double")
+    convex = {r["entity"]: r for r in geo.hulls(found).collect()}
+    got = {r["entity"]: r for r in geo.outlines(found).collect()}
+    assert got["t"] == convex["t"] and got["u"]["sites"] == 7 and got["u"]["area"] < convex["u"]["area"]
+    wide = np.array(json.loads(got["u"]["geometry"])["coordinates"][0][:-1])
+    assert got["u"]["area"] < geo.area(wide) < geo.area(np.array(json.loads(convex["u"]["geometry"])["coordinates"][0][:-1]))
+
+
+def test_widened():
+    random.seed(3)
+    for k in range(30):
+        points = np.array([(random.uniform(0, (0.3, 1, 10)[k % 3]), random.uniform(0, 1)) for _ in range(5 + k)])
+        ring = geo.dug(geo.convex_hull(points), points, 0.3)
+        a, d = ring, np.roll(ring, -1, axis=0) - ring
+        for p in geo.widened(ring, 0.08):
+            t = np.clip(((p - a) * d).sum(1) / (d * d).sum(1), 0, 1)
+            assert 0.078 < np.hypot(*(a + t[:, None] * d - p).T).min() < 0.0801
+
+
+def test_territories_cluster_by_qid(spark):
+    rows = [("Q1", "A", 2, "1", 0.0, 0.0), ("Q1", "A", 1, "2", 1.0, 1.0), ("Q1", "B", 0, "3", 5.0, 0.0), ("Q1", "A", 2, "4", 9.0, 0.0), ("Q1", "A", 0, "5", 60.0, 0.0)]
+    df = spark.createDataFrame(rows, "qid string, name string, rank int, id string, lon double, lat double")
+    # the third site of A is joined through that of B
+    assert [(r["qid"], r["name"], r["cluster"], r["sites"], r["top_rank"]) for r in geo.territories(df).collect()] == [("Q1", "A", "1", 3, 1)]
+
+
 def test_outlines():
     random.seed(5)
     points = np.array([(x, y) for x, y in np.random.default_rng(3).uniform(0, 10, (80, 2)) if not (3 < x < 7 and y > 3)])
