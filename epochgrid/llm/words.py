@@ -8,7 +8,7 @@ import unicodedata
 
 # markup that stands inside a sentence goes without a trace, other markup parts words
 _INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|a|font|sup|sub|small|mark|code|tt|ins|del|s|q|wbr|ref)(?:\s[^<>]*)?/?>", re.I)
-_BLOCK = re.compile(r"<!--.{0,2000}?-->|</?[a-zA-Z][^<>]{0,300}>", re.S)
+_BLOCK = re.compile(r"</?[a-zA-Z][^<>]*>")
 _WIKI = re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]")
 _LINK = re.compile(r"\[([^\[\]]*)\]\([^()\s]*\)")
 _URL = re.compile(r"\b(?:https?://|www\.)[^\s<>\])\"']+")
@@ -21,12 +21,23 @@ _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20
 _LETTERS = str.maketrans({"ø": "o", "đ": "d", "ł": "l", "ı": "i", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ħ": "h"})
 
 
+def without_comments(text: str, instead: str) -> str:
+    """The text without comments of any length; one that doesn't end is text."""
+    if "<!--" not in text:
+        return text
+    out, at = [], 0
+    while (start := text.find("<!--", at)) >= 0 and (end := text.find("-->", start + 4)) >= 0:
+        out += [text[at:start], instead]
+        at = end + 3
+    return "".join([*out, text[at:]])
+
+
 def plain(text: str) -> str:
     """The text without markup and entities, in compatibility form, without accents, casefolded."""
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
-        text = _BLOCK.sub(" ", _INLINE.sub("", text))
+        text = _BLOCK.sub(" ", _INLINE.sub("", without_comments(text, " ")))
     if "[" in text:
         text = _LINK.sub(r"\1", _WIKI.sub(r"\1", text))
     if "://" in text or "www." in text:

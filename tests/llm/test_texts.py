@@ -99,6 +99,7 @@ def test_leaks(spark):
 
 
 SENTENCES = "The limestone moat was restored by weavers from Velsia in 1204. Its outer wall stood for two hundred years, then the river took it. Merchants paid for a new bridge with wool. "
+GOODS, SALES = "relief pit moat floor tablet shrine tower".split(), "poster tours hotels booking voucher".split()
 SPAM = {
     1: ", ".join(["tickets", "Velsia", "cheap", "island", "buy"] * 20),
     2: "\n".join(["hotels Velsia", "rental guide", "Velsia tours"] * 25),
@@ -108,11 +109,17 @@ SPAM = {
     6: " ".join(f"#buy{i} #velsia_tour{i}" for i in range(40)),
     7: "\n".join(f"Town{chr(97 + i)}a online\nonline in Place{chr(97 + i)}o" for i in range(26)),
     8: SENTENCES + "\n" + "; ".join(["tickets", "Velsia", "cheap", "island"] * 30),
+    9: "\n".join(f"granite {GOODS[i % 7]} {SALES[i % 5]} {'ref-' if i % 2 else 'SKU-'}{2000 + 37 * i} {i}.{10 + i} EUR [{SALES[i % 4]}, {SALES[i % 3]}]" for i in range(15)),
+    10: ", ".join(f"ring {i}, amulet {i + 7}" for i in range(40)),
+    11: "\n".join(f'<a href="http://x{i}.test/q">{"tickets for the old town " * 6}</a>' for i in range(9)) + "<!-- " + "x y z. " * 900 + "-->",
+    12: "; ".join(f"${i}.50 {GOODS[i % 7]} {SALES[i % 5]} art-{100 + i}" for i in range(30)),
 }
 PLAIN = {
     20: SENTENCES * 4, 21: "Glossary\n" + "\n".join(f"wall{chr(97 + i)}: a rough stone used by smiths at Town{chr(97 + i)}." for i in range(20)),
     22: "\n".join(f"-{i}12: siege recorded; walls fell." for i in range(1, 20)), 23: SENTENCES * 2 + "See also:\n* http://a.test/b\n* http://c.test/d", 24: "tower, wall, gate",
     25: "\n".join(f"{i}. Town{i} (12.{i}, 4.{i}), fortress, first recorded {i}00 BC" for i in range(1, 30)), 26: None, 27: "", 28: "  \n ", 29: SENTENCES + "Keywords: tower, wall, gate, well",
+    33: "\n".join(f"{i * 37 - 900} BC: siege {['doubtful', 'recorded'][i % 2]}" for i in range(1, 24)), 34: "\n".join(f"Town{chr(97 + i)}ia, fortress {i}00, port {i}50" for i in range(26)),
+    35: "\n".join(f"{i}. Town{chr(97 + i)}ia (12.{i}, 4.{i}), fortress, first recorded c. {i}00 BC" for i in range(1, 26)),
     30: "\n".join(f"Smith {chr(65 + i)}. (19{i:02}). The walls of Town{chr(97 + i)}. Velsia Press, pp. {i}-{i + 9}." for i in range(20)), 31: "水城水大王人中明金大光光人町城。" * 20, 32: SENTENCES * 3000,
 }
 
@@ -120,7 +127,7 @@ PLAIN = {
 def test_long_texts_take_no_longer_than_they_are():
     import time
 
-    for text in (" " * 300_000 + "x", "<!--" * 50_000, "[[" * 100_000, "a|" * 200_000, "word " * 200_000, "&amp;" * 100_000, "#" * 200_000, "http://" * 50_000, "'" * 200_000):
+    for text in (" " * 300_000 + "x", "<!--" * 50_000, "<!--x-->" * 50_000, "<a " * 100_000, "[x" * 100_000, "1.1 EUR x-22 " * 30_000, "7" * 200_000, "A1" * 100_000, "[[" * 100_000, "a|" * 200_000, "word " * 200_000, "&amp;" * 100_000, "#" * 200_000, "http://" * 50_000, "'" * 200_000):
         began = time.time()
         stuffing.page_matter(text)
         words(text)
@@ -129,8 +136,8 @@ def test_long_texts_take_no_longer_than_they_are():
 
 def test_stuffed(spark):
     rows = [(k, t, f"h{k % 3}", 1) for k, t in {**SPAM, **PLAIN}.items()]
-    rows += [(200 + k, SPAM[1 + k % 3], f"other{k}", 1) for k in range(8)] + [(1, SPAM[1], None, 1), (None, SPAM[4], "h", 1)]
+    rows += [(200 + k, SPAM[9 if k > 5 else 1 + k % 3], f"other{k}", 1) for k in range(12)] + [(1, SPAM[1], None, 1), (None, SPAM[4], "h", 1)]
     df = spark.createDataFrame(rows, "id bigint, text string, host string, total int")
     got = stuffing.stuffed(df, "id", "text", "host").collect()
-    assert len(got) == len(set(got)) and {r["id"] for r in got} == {*SPAM, *range(200, 208), None}
+    assert len(got) == len(set(got)) and {r["id"] for r in got} == {*SPAM, *range(200, 212), None}
     assert stuffing.stuffed(df.limit(0), "id", "text", "host").collect() == []
