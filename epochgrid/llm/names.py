@@ -101,12 +101,15 @@ def near(words: list[str], vocabulary: list[str]) -> tuple[np.ndarray, np.ndarra
     for start in range(0, len(words), 256):
         part = words[start : start + 256]
         own = np.array([len(w) for w in part])
-        most = np.maximum(limit[own][:, None], limit[size][None, :])
-        diff = letters(part)[:, None, :] - bag[None, :, :]
-        apart = np.maximum(np.maximum(diff, 0).sum(2), np.maximum(-diff, 0).sum(2))
-        i, j = np.nonzero(apart <= most)
-        at.append(i + start)
-        to.append(j)
+        held = letters(part)
+        for first in range(0, len(vocabulary), 2048):
+            some = slice(first, first + 2048)
+            most = np.maximum(limit[own][:, None], limit[size[some]][None, :])
+            diff = held[:, None, :] - bag[None, some, :]
+            apart = np.maximum(np.maximum(diff, 0).sum(2), np.maximum(-diff, 0).sum(2))
+            i, j = np.nonzero(apart <= most)
+            at.append(i + start)
+            to.append(j + first)
     i, j = np.concatenate(at), np.concatenate(to)
     d = np.concatenate(
         [np.zeros(0, np.int64)]

@@ -57,12 +57,15 @@ def test_matching(spark):
         "Tugnofesti " * 3000: "Q1", None: "NOT_FOUND",
     }
     typed = spark.createDataFrame([(i, n, "old", 1.0) for i, n in enumerate(want)] * 2, "i int, name string, match string, score double")  # clashing names
-    for block in (50_000, 15):  # the list at once, and in blocks
+    typed = typed.unionByName(spark.createDataFrame([(99, "tugnofsti", "old", 1.0)] * 3000, typed.schema))  # a hot value
+    scores = []
+    for block in (50_000, 15, 2):  # the list at once, and in blocks
         got = canonical.matched(typed, "name", listed, "key", "label", block).collect()
-        assert len(got) == 2 * len(want)
-        if block > 15:
-            assert {r["name"]: r["match"] for r in got} == want
+        assert len(got) == 2 * len(want) + 3000
+        assert {r["name"]: r["match"] for r in got} == want
         assert all(r["score"] == 0 for r in got if r["name"] is None)
+        scores.append({r["name"]: r["score"] for r in got})
+    assert scores[0] == scores[1] == scores[2]
     assert canonical.matched(typed.limit(0), "name", listed, "key", "label").collect() == []
     assert {r["match"] for r in canonical.matched(typed, "name", listed.limit(0), "key", "label").collect()} == {"NOT_FOUND"}
 
