@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epochgrid.session import checkpoint
+from epochgrid.session import written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,11 +30,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Loops, repeated edges and edges with a null end change nothing. An empty input has no components.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull()).filter("u <> v").distinct()
-    now = checkpoint(now)
+    now = written(now)
     mark = None
     while True:
-        now = checkpoint(_star(_star(now, True), False))
-        new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first())
+        now = written(_star(_star(now, True), False))
+        # a sum of hashes as decimals can't overflow, whatever the number of edges
+        new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if new == mark or new[0] == 0:
             break
         mark = new
