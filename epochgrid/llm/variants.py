@@ -4,13 +4,15 @@ A name is folded and parted into its core and what sets entities of one core apa
 side (upper, lower). Cores become vectors of character trigrams weighted by rarity. A distributed sparse join finds all pairs of
 cores with a cosine of at least ``COSINE``: a core is posted under the rarest trigrams that hold all but COSINE² of its
 squared length, so any such pair meets under one of them. No number of partners is fixed, as a top n would lose links;
-a trigram of many cores is cut into chunks, each task taking two. Pairs pass an exact check of edits, components of the passed pairs
-are parted by average-linkage clustering, and the names of a cluster with the same kind and side are one entity. A name
+a trigram of many cores is cut into chunks, each task taking two. A pair that an exact check of edits refuses has no similarity.
+Average-linkage clustering over this sparse similarity parts chains of spellings: the mean over all pairs of names of two clusters
+must reach ``LINKAGE``, pairs without similarity included. The names of a cluster with the same kind and side are one entity. A name
 without a kind, or with an abbreviation of several, takes that of its cluster if it has only one that fits.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -25,13 +27,15 @@ from epochgrid.llm.canonical import missing_names, shortens
 from epochgrid.llm.names import edit_distances, fold, sounded, tokens
 from epochgrid.operators.arrow import by_group
 from epochgrid.operators.graph import components
-from epochgrid.session import checkpoint
+from epochgrid.operators.skew import hot_keys, salted_join
+from epochgrid.session import checkpoint, written
 
-#: Least cosine of a pair, least average cosine of a cluster, cores of a chunk, edits by the length of the shorter core, cores of a component
-#: that are clustered in one task (a larger one is clustered by all tasks, with the same result).
-COSINE, LINKAGE, CHUNK, EDITS, DENSE = 0.3, 0.25, 1000, (0, 0, 0, 0, 0, 1, 1, 1, 2, 2, 2, 3), 3000
-#: Digits of an average cosine: equal ones stay equal however they are summed, and the pair of the smaller cores is joined first.
-DIGITS = 9
+#: Least cosine of a pair, least average similarity of a cluster, cores of a chunk, edits by the length of the shorter core.
+COSINE, LINKAGE, CHUNK, EDITS = 0.3, 0.12, 1000, (0, 0, 0, 0, 0, 1, 1, 1, 2, 2, 2, 3)
+#: Pairs of a component that one task clusters; a component with more is clustered by all tasks, with the same result.
+PAIRS = 200_000
+#: Similarities are whole numbers of this fraction, so that sums are the same in any order.
+UNIT = 1_000_000
 
 # Words for kinds of entities, by class, and words that set entities of one name and kind apart.
 KINDS = {
@@ -142,35 +146,49 @@ def alike(left: list[str], right: list[str]) -> np.ndarray:
     return out
 
 
-def average_linkage(cosine: np.ndarray, size: np.ndarray, least: float) -> np.ndarray:
-    """Clusters of points of given weights: the pair with the greatest average cosine is joined while that is enough."""
-    n = len(size)
-    group = np.arange(n)
-    sums = cosine * size[:, None] * size[None, :]
-    size = size.astype(float).copy()
-    np.fill_diagonal(sums, 0)
-    live = np.ones(n, bool)
-    while True:
-        mean = np.round(sums / (size[:, None] * size[None, :]), DIGITS)
-        mean[~live] = -1
-        mean[:, ~live] = -1
-        np.fill_diagonal(mean, -1)
-        k = int(mean.argmax()) if n else 0
-        i, j = divmod(k, n) if n else (0, 0)
-        if n < 2 or mean[i, j] < least:
-            return group
-        sums[i] += sums[j]
-        sums[:, i] += sums[:, j]
-        sums[i, i] = 0
-        size[i] += size[j]
-        live[j] = False
-        group[group == group[j]] = group[i]
-
-
-def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def average_linkage(pairs: list[tuple[str, str, int]], size: dict[str, int], least: float) -> dict[str, str]:
+    """The cluster of each core, named by its smallest: the two clusters with the greatest mean similarity are joined while that
+    is enough, of equal ones those of the smaller names. ``pairs``: (a, b, similarity in ``UNIT``); all others have none."""
+    size = dict(size)
+    sums: dict[str, dict[str, int]] = {c: {} for c in size}
+    for a, b, s in pairs:
+        s *= size[a] * size[b]
+        sums[a][b] = sums[b][a] = sums[a].get(b, 0) + s
+
+    def entry(a: str, b: str) -> tuple[float, str, str]:
+        return (-sums[a][b] / (size[a] * size[b] * UNIT), min(a, b), max(a, b))
+
+    heap = [entry(a, b) for a in sums for b in sums[a] if a < b]
+    heapq.heapify(heap)
+    into: dict[str, str] = {}
+    while heap:
+        far, low, high = heapq.heappop(heap)
+        if -far < least:
+            break
+        if low not in sums or high not in sums[low] or (far, low, high) != entry(low, high):
+            continue  # of a cluster that has changed since
+        into[high] = low
+        del sums[low][high]
+        for other, s in sums.pop(high).items():
+            if other != low:
+                del sums[other][high]
+                sums[low][other] = sums[other][low] = sums[low].get(other, 0) + s
+        size[low] += size.pop(high)
+        for other in sums[low]:
+            heapq.heappush(heap, entry(low, other))
+
+    def head(c: str) -> str:
+        while c in into:
+            c = into[c]
+        return c
+
+    return {c: head(c) for c in [*size, *into]}
+
+
+def _weights(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
     """Posts each core under its rarest trigrams, in each chunk pair it may meet others in."""
     for batch in batches:
-        rows: dict[str, list] = {"gram": [], "block": [], "core": [], "chunk": [], "names": [], "grams": [], "weights": []}
+        rows: dict[str, list] = {"gram": [], "block": [], "core": [], "chunk": [], "grams": [], "weights": []}
         for r in batch.to_pylist():
             grams = sorted(r["grams"], key=lambda g: (g["df"], g["gram"]))
             w = np.array([math.log(1 + r["total"] / (g["df"] + 0.002 * r["total"])) for g in grams])
@@ -178,14 +196,13 @@ def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = 1 - np.cumsum(w * w)
             last = int(np.argmax(left < COSINE * COSINE))
             for g in grams[: last + 1]:
-                chunks = -(-g["df"] // CHUNK)
+                chunks = -(-g["df"] // chunk)
                 own = hash_of(r["core"]) % chunks
                 for other in range(chunks):
                     rows["gram"].append(g["gram"])
                     rows["block"].append(min(own, other) * 100_000 + max(own, other))
                     rows["core"].append(r["core"])
                     rows["chunk"].append(own)
-                    rows["names"].append(r["names"])
                     rows["grams"].append([x["gram"] for x in grams])
                     rows["weights"].append(w)
         yield pa.RecordBatch.from_pydict(rows, schema=_POSTED)
@@ -198,7 +215,7 @@ def hash_of(text: str) -> int:
 
 
 _POSTED = pa.schema(
-    [("gram", pa.string()), ("block", pa.int64()), ("core", pa.string()), ("chunk", pa.int64()), ("names", pa.int64()), ("grams", pa.list_(pa.string())), ("weights", pa.list_(pa.float64()))]
+    [("gram", pa.string()), ("block", pa.int64()), ("core", pa.string()), ("chunk", pa.int64()), ("grams", pa.list_(pa.string())), ("weights", pa.list_(pa.float64()))]
 )
 
 
@@ -232,108 +249,67 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for group in by_group(batches, ["component"]):
-        cores = group.column("core").to_pylist()
-        size = group.column("names").to_numpy().astype(float)
-        vectors = _vectors(group, np.float64)
-        found = average_linkage(vectors @ vectors.T, size, LINKAGE)
-        least: dict[int, str] = {}
-        for k, c in zip(found, cores):
-            least[k] = min(least.get(k, c), c)
-        yield pa.RecordBatch.from_pydict({"core": cores, "cluster": [least[k] for k in found]}, schema=pa.schema([("core", pa.string()), ("cluster", pa.string())]))
-
-
-_STATE = "component string, cluster string, size double, grams array<struct<df: bigint, gram: string, weight: double>>"
-_MEANS = pa.schema(
-    [("component", pa.string()), ("gram", pa.string()), ("block", pa.int64()), ("cluster", pa.string()), ("grams", pa.list_(pa.string())), ("weights", pa.list_(pa.float64()))]
-)
+_LINKED = pa.schema([("core", pa.string()), ("cluster", pa.string())])
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Clusters with each trigram once, the rarest first."""
-    for batch in batches:
-        grams = []
-        for row in batch.column("grams").to_pylist():
-            sums: dict[tuple[int, str], float] = {}
-            for g in row:
-                sums[g["df"], g["gram"]] = sums.get((g["df"], g["gram"]), 0.0) + g["weight"]
-            grams.append([{"df": df, "gram": gram, "weight": sums[df, gram]} for df, gram in sorted(sums)])
-        at = batch.schema.get_field_index("grams")
-        yield batch.set_column(at, batch.schema.field(at), pa.array(grams, batch.schema.field(at).type))
-
-
-def _means(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
-    """Posts each cluster's mean vector as ``_weights`` does cores; no more clusters than cores hold a trigram, so chunks suffice."""
-    for batch in batches:
-        rows: dict[str, list] = {k: [] for k in _MEANS.names}
-        for r in batch.to_pylist():
-            grams = [g["gram"] for g in r["grams"]]
-            w = np.array([g["weight"] for g in r["grams"]]) / r["size"]
-            left = (w * w).sum() - np.cumsum(w * w)
-            last = int(np.argmax(left < (LINKAGE - 1e-6) ** 2))
-            for g in r["grams"][: last + 1]:
-                chunks = -(-g["df"] // chunk)
-                own = hash_of(r["cluster"]) % chunks
-                for other in range(chunks):
-                    block = min(own, other) * 100_000 + max(own, other)
-                    for k, v in zip(_MEANS.names, (r["component"], g["gram"], block, r["cluster"], grams, w)):
-                        rows[k].append(v)
-        yield pa.RecordBatch.from_pydict(rows, schema=_MEANS)
-
-
-def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for group in by_group(batches, ["component", "gram", "block"]):
-        if group.num_rows < 2:
-            continue
-        vectors = _vectors(group, np.float64)
-        mean = np.round(vectors @ vectors.T, DIGITS)
-        mean = np.maximum(mean, mean.T)
-        np.fill_diagonal(mean, -1)
-        other = mean.argmax(axis=1)
-        most = mean[np.arange(len(other)), other]
-        keep = np.flatnonzero(most >= LINKAGE)
-        names = group.column("cluster").to_pylist()
-        yield pa.RecordBatch.from_pydict(
-            {"cluster": [names[i] for i in keep], "other": [names[other[i]] for i in keep], "mean": most[keep]},
-            schema=pa.schema([("cluster", pa.string()), ("other", pa.string()), ("mean", pa.float64())]),
-        )
+def _clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for group in by_group(batches, ["component"]):
+        a, b = group.column("a").to_pylist(), group.column("b").to_pylist()
+        size = dict(zip(a, group.column("size_a").to_pylist())) | dict(zip(b, group.column("size_b").to_pylist()))
+        found = average_linkage(list(zip(a, b, group.column("similar").to_pylist())), size, LINKAGE)
+        yield pa.RecordBatch.from_pydict({"core": list(found), "cluster": list(found.values())}, schema=_LINKED)
 
 
-def parted(state: DataFrame) -> DataFrame:
-    """(core, cluster) of components too large for one task: average linkage in rounds. ``state`` has a cluster for each core.
+def parted(pairs: DataFrame) -> DataFrame:
+    """(core, cluster) of components with too many pairs for one task: average linkage in rounds over the pairs
+    (a, b, size_a, size_b, similar).
 
-    The average cosine of two clusters is the product of their mean vectors. Each round joins all clusters that are each other's
-    nearest; joining others never brings a cluster nearer than its nearest was, so the result is that of one join at a time.
-    A cluster with none near enough is done for the same reason.
+    Each round joins all clusters that are each other's nearest; joining others never brings a cluster nearer than its nearest
+    was, so the result is that of one join at a time. A cluster with none near enough is done for the same reason. Each core
+    is in one join a round, so the pairs are joined with the moves without skew but for a cluster's pairs, which the engine splits.
     """
-    state = checkpoint(state)
-    cores = state.select(F.col("cluster").alias("core"))
+    cores = pairs.select(F.col("a").alias("core")).unionByName(pairs.select(F.col("b").alias("core"))).distinct()
+    area = F.col("size_a") * F.col("size_b")
+    now = written(pairs.select("a", "b", "size_a", "size_b", (F.col("similar") * area).alias("sum")))
     moves = None
     while True:
-        posted = state.mapInArrow(partial(_means, chunk=CHUNK), "component string, gram string, block bigint, cluster string, grams array<string>, weights array<double>")
-        posted = posted.repartition("component", "gram", "block").sortWithinPartitions("component", "gram", "block", "cluster")
-        near = posted.mapInArrow(_nearest, "cluster string, other string, mean double")
-        order = F.struct((-F.col("mean")).alias("far"), F.least("cluster", "other").alias("low"), F.greatest("cluster", "other").alias("high"))
-        best = checkpoint(near.groupBy("cluster").agg(F.min(order).alias("best")).select("cluster", "best.low", "best.high"))
-        pairs = checkpoint(best.groupBy("low", "high").count().filter("count = 2").select("low", "high"))
-        if pairs.isEmpty():
+        near = now.withColumn("mean", F.col("sum") / (area * UNIT)).filter(F.col("mean") >= LINKAGE)
+        order = F.struct((-F.col("mean")).alias("far"), F.col("a").alias("low"), F.col("b").alias("high"))
+        ends = near.select(F.col("a").alias("cluster"), order.alias("o")).unionByName(near.select(F.col("b").alias("cluster"), order.alias("o")))
+        best = ends.groupBy("cluster").agg(F.min("o").alias("best"))
+        joined = written(best.groupBy("best.low", "best.high").count().filter("count = 2").select("low", "high"))
+        if joined.isEmpty():
             break
-        moves = pairs if moves is None else moves.unionByName(pairs)
-        live = state.join(best.select("cluster"), "cluster", "left_semi").join(pairs.withColumnRenamed("high", "cluster"), "cluster", "left")
-        joined = live.groupBy("component", F.coalesce("low", "cluster").alias("cluster")).agg(F.sum("size").alias("size"), F.flatten(F.collect_list("grams")).alias("grams"))
-        state = checkpoint(joined.mapInArrow(_summed, _STATE))
+        moves = joined if moves is None else moves.unionByName(joined)
+        sizes = now.select(F.col("a").alias("c"), F.col("size_a").alias("n")).unionByName(now.select(F.col("b").alias("c"), F.col("size_b").alias("n"))).distinct()
+        grown = joined.join(sizes.select(F.col("c").alias("low"), F.col("n").alias("n1")), "low").join(sizes.select(F.col("c").alias("high"), F.col("n").alias("n2")), "high")
+        grown = grown.select("low", "high", (F.col("n1") + F.col("n2")).alias("n"))
+        moved = grown.select(F.explode(F.array("low", "high")).alias("c"), F.col("low").alias("to"), "n")
+        for side in "ab":
+            now = now.join(moved.select(F.col("c").alias(side), F.col("to").alias("to"), F.col("n").alias("n")), side, "left")
+            now = now.withColumn(f"size_{side}", F.coalesce("n", f"size_{side}")).withColumn(side, F.coalesce("to", side)).drop("to", "n")
+        turned = F.col("a") > F.col("b")
+        now = written(
+            now.filter("a <> b")
+            .select(
+                F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("size_b")).otherwise(F.col("size_a")).alias("size_a"),
+                F.when(turned, F.col("size_a")).otherwise(F.col("size_b")).alias("size_b"), "sum",
+            )
+            .groupBy("a", "b", "size_a", "size_b")
+            .agg(F.sum("sum").alias("sum")),
+        )
     if moves is None:
         return cores.withColumn("cluster", F.col("core"))
     named = components(moves, "low", "high").select(F.col("node").alias("core"), F.col("component").alias("cluster"))
     return cores.join(named, "core", "left").select("core", F.coalesce("cluster", "core").alias("cluster"))
 
 
-def entities(names: DataFrame, name: str, kind: str) -> DataFrame:
+def entities(names: DataFrame, name: str, kind: str, chunk: int = CHUNK, most: int = PAIRS) -> DataFrame:
     """(name, entity) of each different name: names with one entity mean the same.
 
     ``kind`` is the class each row gives the name; the most frequent one helps to read abbreviations. Null and blank names
-    are left out; a name is compared exactly as it is stored.
+    are left out; a name is compared exactly as it is stored. ``chunk`` (cores of a trigram in one task) and ``most`` (pairs that one
+    task clusters) change no result.
     """
     best = (
         names.select(F.col(name).alias("name"), F.col(kind).alias("kind"))
@@ -354,44 +330,34 @@ def entities(names: DataFrame, name: str, kind: str) -> DataFrame:
             )
 
     read = checkpoint(best.mapInArrow(parse, "name string, kinds array<string>, side string, core string, grams array<string>"))
-    cores = read.groupBy("core").agg(F.count("*").alias("names"), F.first("grams").alias("grams"))
+    cores = checkpoint(read.groupBy("core").agg(F.count("*").alias("names"), F.first("grams").alias("grams")))
     total = cores.agg(F.count("*").alias("total"))
-    posted = cores.select("core", "names", F.explode("grams").alias("gram"))
+    posted = cores.select("core", F.explode("grams").alias("gram"))
     df = posted.groupBy("gram").agg(F.count("*").alias("df"))
     vectors = (
-        posted.join(df, "gram")
-        .groupBy("core", "names")
+        salted_join(posted, df, "gram", hot_keys(df, "gram", "df"), by=F.col("core"))
+        .groupBy("core")
         .agg(F.array_sort(F.collect_list(F.struct("gram", "df"))).alias("grams"))
         .crossJoin(F.broadcast(total))
     )
-    postings = vectors.mapInArrow(_weights, "gram string, block bigint, core string, chunk bigint, names bigint, grams array<string>, weights array<double>")
+    postings = vectors.mapInArrow(partial(_weights, chunk=chunk), "gram string, block bigint, core string, chunk bigint, grams array<string>, weights array<double>")
     pairs = checkpoint(
         postings.repartition("gram", "block").sortWithinPartitions("gram", "block").mapInArrow(_pairs, "a string, b string, how int, cosine double").distinct()
     )
-    linked = checkpoint(components(pairs.filter("how = 1"), "a", "b"))
-    vast = checkpoint(linked.groupBy("component").count().filter(F.col("count") > DENSE).select("component", F.lit(True).alias("vast")))
-    linked = linked.join(vast, "component", "left")
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            w = [[math.log(1 + r["total"] / (g["df"] + 0.002 * r["total"])) for g in r["grams"]] for r in rows]
-            w = [[x / math.sqrt(sum(y * y for y in v)) for x in v] for v in w]
-            yield pa.RecordBatch.from_pydict(
-                {"component": [r["component"] for r in rows], "core": [r["core"] for r in rows], "names": [r["names"] for r in rows], "grams": [[g["gram"] for g in r["grams"]] for r in rows], "weights": w},
-                schema=pa.schema([("component", pa.string()), ("core", pa.string()), ("names", pa.int64()), ("grams", pa.list_(pa.string())), ("weights", pa.list_(pa.float64()))]),
-            )
-
-    members = vectors.join(linked.filter("vast is null"), vectors.core == F.col("node")).drop("node", "vast")
-    members = members.mapInArrow(weigh, "component string, core string, names bigint, grams array<string>, weights array<double>")
-    clusters = members.repartition("component").sortWithinPartitions("component", "core").mapInArrow(_clusters, "core string, cluster string")
+    alike_ = pairs.filter("how = 1").select("a", "b", F.round(F.col("cosine") * UNIT).cast("bigint").alias("similar"))
+    linked = components(alike_, "a", "b")
+    sized = cores.select("core", "names")
+    whole = checkpoint(
+        alike_.join(linked, alike_.a == linked.node)
+        .drop("node")
+        .join(sized.select(F.col("core").alias("a"), F.col("names").alias("size_a")), "a")
+        .join(sized.select(F.col("core").alias("b"), F.col("names").alias("size_b")), "b")
+    )
+    vast = checkpoint(whole.groupBy("component").count().filter(F.col("count") > most).select("component"))
+    small = whole.join(vast, "component", "left_anti")
+    clusters = small.repartition("component").sortWithinPartitions("component", "a", "b").mapInArrow(_clusters, "core string, cluster string")
     if not vast.isEmpty():
-        weight = F.transform("grams", lambda g: F.struct(g["df"].alias("df"), g["gram"].alias("gram"), F.log(1 + F.col("total") / (g["df"] + 0.002 * F.col("total"))).alias("weight")))
-        length = F.sqrt(F.aggregate("grams", F.lit(0.0), lambda a, g: a + g["weight"] * g["weight"]))
-        unit = F.transform("grams", lambda g: F.struct(g["df"].alias("df"), g["gram"].alias("gram"), (g["weight"] * F.col("size") / F.col("length")).alias("weight")))
-        large = vectors.join(linked.filter("vast"), vectors.core == F.col("node")).select("component", F.col("core").alias("cluster"), F.col("names").cast("double").alias("size"), weight.alias("grams"))
-        large = large.withColumn("length", length).select("component", "cluster", "size", unit.alias("grams"))
-        clusters = clusters.unionByName(parted(large.mapInArrow(_summed, _STATE)))
+        clusters = clusters.unionByName(parted(whole.join(vast, "component", "left_semi")))
     placed = checkpoint(
         read.join(clusters, "core", "left").select("name", "kinds", "side", "core", F.coalesce("cluster", "core").alias("cluster"))
     )
@@ -419,11 +385,15 @@ def entities(names: DataFrame, name: str, kind: str) -> DataFrame:
     return settled.select("name", F.concat_ws("\x00", "cluster", "side", own).alias("entity"))
 
 
-def linked_names(names: DataFrame, name: str, kind: str) -> DataFrame:
-    """(name_a, name_b) of each two different names of one entity, the smaller by UTF-8 bytes first."""
-    found = checkpoint(entities(names, name, kind))
+def linked_names(names: DataFrame, name: str, kind: str, chunk: int = CHUNK, most: int = PAIRS) -> DataFrame:
+    """(name_a, name_b) of each two different names of one entity, the smaller by UTF-8 bytes first.
+
+    ``entities`` gives the same as membership; this spells it out, an entity with many names being cut by their number.
+    """
+    found = checkpoint(entities(names, name, kind, chunk, most))
     right = found.select("entity", F.col("name").alias("name_b"))
-    return found.withColumnRenamed("name", "name_a").join(right, "entity").filter("name_a < name_b").select("name_a", "name_b")
+    hot = hot_keys(found.groupBy("entity").count(), "entity", "count")
+    return salted_join(found.withColumnRenamed("name", "name_a"), right, "entity", hot, by=F.col("name_a")).filter("name_a < name_b").select("name_a", "name_b")
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:

@@ -92,17 +92,41 @@ def test_variants(spark):
     assert len(found) == 3
 
 
-def test_chunks_lose_nothing(spark, monkeypatch):
+def test_chunks_lose_nothing(spark):
     random.seed(3)
     stems = ["".join(random.choice(["zuz", "hot", "vaik", "lat", "gif", "pem", "tug", "nof", "mel", "dar"]) for _ in range(4)) for _ in range(60)]
     names = sorted({f"Kingdom of {s[:k]}{s[k + 1:]}".title() for s in stems for k in (2, 5, 8, 99)})
     df = spark.createDataFrame([(n, "polity") for n in names], "name string, kind string")
     one = {tuple(r) for r in variants.linked_names(df, "name", "kind").collect()}
-    monkeypatch.setattr(variants, "DENSE", 2)  # all components count as vast
-    assert one <= {tuple(r) for r in variants.linked_names(df, "name", "kind").collect()}
-    monkeypatch.setattr(variants, "DENSE", 3000)
-    monkeypatch.setattr(variants, "CHUNK", 7)
-    assert one and {tuple(r) for r in variants.linked_names(df, "name", "kind").collect()} == one
+    assert one and {tuple(r) for r in variants.linked_names(df, "name", "kind", chunk=7).collect()} == one
+    assert {tuple(r) for r in variants.linked_names(df, "name", "kind", chunk=7, most=1).collect()} == one
+
+
+def brute_linkage(pairs, size, least):
+    """One join at a time over all pairs of clusters, each mean taken anew."""
+    similar = {(a, b): s for a, b, s in pairs} | {(b, a): s for a, b, s in pairs}
+    clusters = {c: [c] for c in size}
+    while True:
+        best = []
+        for a in clusters:
+            for b in clusters:
+                if a < b:
+                    total = sum(similar.get((x, y), 0) * size[x] * size[y] for x in clusters[a] for y in clusters[b])
+                    best.append((-total / (sum(size[x] for x in clusters[a]) * sum(size[y] for y in clusters[b]) * variants.UNIT), a, b))
+        if not best or -min(best)[0] < least:
+            return {c: head for head, members in clusters.items() for c in members}
+        _, a, b = min(best)
+        clusters[a] += clusters.pop(b)
+
+
+def test_linkage_equals_brute_force(spark):
+    random.seed(9)
+    for trial in range(60):
+        names = [f"n{i}" for i in range(random.choice([2, 5, 9, 12]))]
+        size = {n: random.choice([1, 1, 2, 5]) for n in names}
+        pairs = [(a, b, random.choice([300_000, 500_000, 700_001])) for a in names for b in names if a < b and random.random() < 0.4]
+        want = brute_linkage(pairs, size, 0.2)
+        assert variants.average_linkage(pairs, size, 0.2) == want
 
 
 def test_vast_components_are_parted(spark, monkeypatch):
@@ -116,13 +140,11 @@ def test_vast_components_are_parted(spark, monkeypatch):
             names.add("Kingdom of " + "".join(core).title())
     df = spark.createDataFrame([(n, "polity") for n in sorted(names)], "name string, kind string")
 
-    def linked():
-        return {tuple(r) for r in variants.linked_names(df, "name", "kind").collect()}
+    def linked(**how):
+        return {tuple(r) for r in variants.linked_names(df, "name", "kind", **how).collect()}
 
     small = linked()
-    monkeypatch.setattr(variants, "DENSE", 2)
-    assert linked() == small
-    monkeypatch.setattr(variants, "CHUNK", 7)
-    assert linked() == small
-    monkeypatch.setattr(variants, "parted", lambda state: state.selectExpr("cluster AS core", "component AS cluster"))
-    assert small < linked()  # whole components hold links that average linkage parts
+    assert linked(most=1) == small
+    assert linked(most=1, chunk=7) == small
+    monkeypatch.setattr(variants, "parted", lambda pairs: pairs.selectExpr("a AS core", "component AS cluster").unionByName(pairs.selectExpr("b AS core", "component AS cluster")).distinct())
+    assert small < linked(most=1)  # whole components hold links that average linkage parts
