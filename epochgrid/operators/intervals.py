@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from epochgrid.operators.arrow import changes, flat, held_back
 
-_SHIFT = 1 << 36  # makes all doubled points positive, as years lie within 32 bits
+#: Ends of intervals lie within ± ``FURTHEST``; the shift makes all doubled points positive.
+FURTHEST = 1 << 59
+_SHIFT = 1 << 61
 
 
 def dyadic_blocks(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,7 +54,9 @@ def uncovered(g: np.ndarray, level: np.ndarray, k: np.ndarray) -> tuple[np.ndarr
     end = start + (np.int64(1) << level)
     fresh = np.r_[True, g[1:] != g[:-1]]
     rank = np.cumsum(fresh) - 1
-    reach = np.maximum.accumulate(end + (rank << 38)) - (rank << 38)  # the furthest end so far in the group
+    ends, code = np.unique(end, return_inverse=True)
+    base = rank * len(ends)
+    reach = ends[np.maximum.accumulate(code + base) - base]  # the furthest end so far in the group
     keep = fresh.copy()
     keep[1:] |= end[1:] > reach[:-1]
     return g[keep], level[keep], k[keep]
@@ -107,17 +111,16 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str) -> Dat
     """(keys, rel, start, end): ``period`` for each longest stretch of intervals that share points, ``gap`` from the end
     of a period to the start of the key's next.
 
-    Both ends are included; an interval that lacks an end, ends before it starts or leaves 32 bits doesn't
-    count. A null key is a key of
-    its own. Repeated rows change nothing. The other columns of ``df`` are dropped, so their names can't clash.
+    Both ends are included; an interval that lacks an end, ends before it starts or goes beyond ``FURTHEST``
+    doesn't count. A null key is a key of its own. Repeated rows change nothing. The other columns of ``df`` are dropped, so their names can't clash.
     """
     names = [f"__g{i}" for i in range(len(keys))]
     types = dict(df.dtypes)
-    source = df.select(
-        *[F.col(k).alias(n) for k, n in zip(keys, names)],
-        (F.col(start).cast("bigint") * 2).alias("__a"),
-        (F.col(end).cast("bigint") * 2).alias("__b"),
-    ).filter(f"__a <= __b and __a >= {-(2**33)} and __b <= {2**33}")
+    source = (
+        df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(start).try_cast("bigint").alias("__a"), F.col(end).try_cast("bigint").alias("__b"))
+        .filter(f"__a <= __b and __a >= {-FURTHEST} and __b <= {FURTHEST}")
+        .withColumns({"__a": F.col("__a") * 2, "__b": F.col("__b") * 2})
+    )
     schema = ", ".join([f"{n} {types[k]}" for k, n in zip(keys, names)] + ["__a bigint", "__b bigint"])
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +152,8 @@ def entity_periods(sites: DataFrame) -> DataFrame:
     """Periods and gaps of each entity at each site: (site_id, track, entity_qid, rel, from_year, to_year).
 
     Of polity, culture, religion and language entries with a QID; open ends are completed by the site's inception and
-    dissolution years, else 9999. Copies of a site row change nothing, as union is idempotent.
+    dissolution years, else 9999. Copies of a site row change nothing, as union is idempotent. An entry whose years no INT holds
+    doesn't count.
     """
     from epochgrid.operators.timelines import timeline_items
 
@@ -164,7 +168,7 @@ def entity_periods(sites: DataFrame) -> DataFrame:
         F.trim("qid").alias("entity_qid"),
         F.coalesce("year", "inception_year").alias("from_year"),
         F.coalesce("to_year", "dissolution_year", F.lit(9999)).alias("to_year"),
-    ).filter("entity_qid <> ''")
+    ).filter(f"entity_qid <> '' and from_year between {-(2**31)} and {2**31 - 1} and to_year between {-(2**31)} and {2**31 - 1}")
     out = merge_intervals(entries, ["site_id", "track", "entity_qid"], "from_year", "to_year")
     return out.withColumn("from_year", F.col("from_year").cast("int")).withColumn("to_year", F.col("to_year").cast("int"))
 

@@ -6,7 +6,7 @@ the depth; from depth and position follow each value's parent, its key or its po
 parsed by itself. Each text is also checked against the whole JSON grammar by what may follow what.
 
 Results for odd input: a null, empty or blank text, and one that isn't JSON, has no values and isn't ``valid``;
-of a key that is repeated in one object the last counts; nesting deeper than ``DEEPEST`` counts as unreadable.
+of a key that is repeated in one object the last counts; no depth of nesting is too deep.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ import pyarrow.compute as pc
 
 from epochgrid.operators.arrow import bytes_of, spans
 
-DEEPEST = 512
 OBJECT, OBJECT_END, LIST, LIST_END, COLON, COMMA, STRING, SCALAR, KEY, START = range(10)
 
 _CLASS = np.zeros(256, np.uint8)
@@ -161,7 +160,7 @@ class JsonIndex:
         total = np.r_[0, depth]
         depth = depth - total[heads][self.text] if len(depth) else depth
         self._refuse(total[tails] != total[heads])
-        self._refuse(self.text[(depth < 0) | (depth > DEEPEST)])
+        self._refuse(self.text[depth < 0])
         if not self.valid.all():
             keep = self.valid[self.text]
             self._keep(keep)
@@ -174,18 +173,18 @@ class JsonIndex:
         within = depth - opens + closes
         self.parent = np.full(len(self.at), -1, np.int64)
         self.ordinal = np.zeros(len(self.at), np.int64)
-        for level in range(1, int(depth.max(initial=0)) + 1):
-            heads = np.flatnonzero(opens & (depth == level))
-            kids = np.flatnonzero(within == level)
-            if not heads.size:
-                continue
-            group = np.searchsorted(heads, kids) - 1
-            self.parent[kids] = heads[group]
-            comma = self.kind[kids] == COMMA
-            commas = np.cumsum(comma)
-            fresh = np.r_[True, group[1:] != group[:-1]]
-            base = (commas - comma)[fresh]
-            self.ordinal[kids] = commas - base[np.cumsum(fresh) - 1]
+        # by level, in order of place: the bracket that opens a level comes before what it holds, whatever the depth
+        level = np.zeros(2 * len(self.at), np.int16 if depth.max(initial=0) < 2**15 else np.int32)
+        level[0::2] = np.where(opens, depth, 0)
+        level[1::2] = np.maximum(within, 0)
+        some = np.flatnonzero(level)
+        some = some[np.argsort(level[some], kind="stable")]
+        token, head = some >> 1, (some & 1) == 0
+        commas = np.cumsum((self.kind[token] == COMMA) & ~head)
+        last = np.maximum.accumulate(np.where(head, np.arange(len(some)), 0))
+        kids = token[~head]
+        self.parent[kids] = token[last][~head]
+        self.ordinal[kids] = (commas - commas[last])[~head]
 
     def _check_order(self) -> None:
         n = len(self.at)

@@ -142,7 +142,7 @@ def timeline_items(
 def flat_items(sites: DataFrame, dump: DataFrame) -> DataFrame:
     """All items of both tables, each record once: (origin, record_id, section, ordinal, year, label).
 
-    Of rows with one id the last stamped counts. A missing year is 0, a missing label empty; rows without id are left out.
+    Of rows with one id the last stamped counts. A missing year, and one that no INT holds, is 0, a missing label empty; rows without id are left out.
     """
     wanted = ["record_id", "section", "ordinal", "year", "label"]
     parts = []
@@ -153,7 +153,7 @@ def flat_items(sites: DataFrame, dump: DataFrame) -> DataFrame:
     return (
         parts[0]
         .unionByName(parts[1])
-        .withColumn("year", F.coalesce(F.col("year"), F.lit(0)).cast("int"))
+        .withColumn("year", F.coalesce(F.col("year").try_cast("int"), F.lit(0)))
         .withColumn("label", F.coalesce(F.col("label"), F.lit("")))
     )
 

@@ -59,7 +59,7 @@ def test_validity_is_that_of_json(rows):
 def test_odd_texts():
     texts = ["", " ", None, "nul", "[1,]", '{"a":1}x', '"' + json.dumps({"a": 1}).replace('"', '\\"') + '"', '{"a":1,"a":2}', "[" * 600 + "]" * 600, '"\\ud800"', "\x01"]
     index, rows = indexed(pa.array(texts, pa.string()))[0]
-    assert list(index.valid) == [False, False, False, False, False, False, True, True, False, True, False]
+    assert list(index.valid) == [False, False, False, False, False, False, True, True, True, True, False]
     inner, at = indexed(pa.array(texts, pa.string()))[1]
     assert at[0] == 6 and inner.valid[0]
     f = index.fields(["a"])["a"]
@@ -111,3 +111,10 @@ def test_each_record_once(spark):
     out = flat_items(sites, dump).collect()
     assert len(out) == len(ROWS) and {r["origin"] for r in out} == {"timeline_dump"}
     assert {(r["year"], r["label"]) for r in out if r["section"] == "site_type"} == {(-5, "town"), (0, "")}
+
+
+def test_no_depth_is_too_deep(spark):
+    deep = '{"events": [{"type": "siege", "year": 5, "more": ' + "[" * 100_000 + "{}" + "]" * 100_000 + "}]}"
+    df = spark.createDataFrame([("a", deep), ("b", '{"events": [{"type": "fire"}]}'), ("c", "[" * 60_000)], "id string, timeline string")
+    got = {(r["record_id"], r["section"], r["label"]) for r in timeline_items(df, "id", "timeline", ["record_id", "section", "label"]).collect()}
+    assert got == {("a", "events", "siege"), ("b", "events", "fire")}
