@@ -66,3 +66,24 @@ def fnv1a(text: Column) -> Column:
         F.lit(2166136261).cast("bigint"),
         lambda h, c: h.bitwiseXOR(F.ascii(c).cast("bigint")) * 16777619 % 4294967296,
     )
+
+
+# Ladders of the colours of entities, and the golden ratio's share of the circle of hues.
+SATURATIONS, LIGHTNESSES, GOLDEN = (62, 48, 74, 38), (52, 42, 62, 34, 70), 0.618033988749895
+
+
+def entity_color(qid: Column, family: Column) -> tuple[Column, Column, Column]:
+    """(hue, saturation, lightness) of an entity: its family, if it has one, gives the hue, which its own hash then moves by 12 degrees at
+    most; its hash also picks from the ladders. Never stored, always the same."""
+    related = F.coalesce(family != "", F.lit(False))
+    seed, own = fnv1a(F.when(related, family).otherwise(qid)), fnv1a(qid)
+    nudge = F.when(related, own % 25 - 12).otherwise(F.lit(0))
+    hue = F.round((((seed / 4294967295.0 + GOLDEN) % 1) * 360 + nudge) % 360, 1)
+    saturation = F.element_at(F.array(*[F.lit(x) for x in SATURATIONS]), (1 + own % 4).cast("int"))
+    lightness = F.element_at(F.array(*[F.lit(x) for x in LIGHTNESSES]), (1 + F.floor(own / 4) % 5).cast("int"))
+    return hue, saturation, lightness
+
+
+def stroke(saturation: Column, lightness: Column) -> tuple[Column, Column]:
+    """Saturation and lightness of the outline: the darkened fill."""
+    return F.least(F.lit(100), saturation + 12), F.greatest(F.lit(12), lightness - 24)

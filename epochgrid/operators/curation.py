@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epochgrid.session import checkpoint
+from epochgrid.session import written
 
 # English variants, and languages in Latin script in order of preference.
 ENGLISH = "en-gb en-ca en-us en-au en-nz en-simple".split()
@@ -88,10 +88,10 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     fresh = found
     while True:
         step = fresh.join(edges, fresh.node == edges.parent).select(F.col("child").alias("node"), "root").distinct()
-        fresh = checkpoint(step.join(found, ["node", "root"], "left_anti"))
+        fresh = written(step.join(found, ["node", "root"], "left_anti"))
         if fresh.isEmpty():
             return found
-        found = checkpoint(found.unionByName(fresh))
+        found = written(found.unionByName(fresh))
 
 
 def whitelist(closures: DataFrame, excluded: DataFrame, order: list[str], partial: str, words: str) -> DataFrame:

@@ -32,6 +32,21 @@ CONFESSIONS = [
 ]
 
 
+# Descriptions of what isn't a country of today, of what is, and QIDs known not to be.
+HISTORICAL = "historical|former|ancient|medieval|dynasty|empire|kingdom|caliphate|occupation|colony|soviet"
+CURRENT = "^country|^sovereign|^state in"
+NOT_TODAY = (
+    "Q28513 Q131964 Q15180 Q193714 Q1747689 Q34266 Q7318 Q12544 Q2277 Q83286 Q15102440 Q191077 Q13426199 Q12560 Q83891 Q93180 Q8575586 "
+    "Q12536 Q207272 Q174193"
+).split()
+
+
+def historical(entities: DataFrame, qid: str = "qid", description: str = "description_en") -> DataFrame:
+    """Entities with ``skipped``: why one isn't a country of today (``known``, ``description``), null if nothing says so."""
+    text = F.lower(F.coalesce(description, F.lit("")))
+    return entities.withColumn("skipped", F.when(F.col(qid).isin(NOT_TODAY), "known").when(text.rlike(HISTORICAL) & ~text.rlike(CURRENT), "description"))
+
+
 def _in_order(*keys: str):
     return Window.partitionBy(*keys).orderBy("from_year", "ordinal")
 
@@ -48,7 +63,7 @@ def bounded(entries: DataFrame, entities: DataFrame, how: str = "inner") -> Data
 
     An entry apart from its entity's life is incompatible and stays as it is; one that begins before is shortened, one that
     runs on is closed, an entry may be both. Its end is its own, else that of the next entry (step tracks) or of the entity's next.
-    ``new_from`` and ``new_to`` hold the result, ``from_circa`` whether a rough bound made the start rough. With ``how`` left,
+    ``new_from`` and ``new_to`` hold the result, ``from_circa`` whether a rough bound made the start rough, ``from_precision`` how rough. With ``how`` left,
     entries without a known bound stay, as they are.
     """
     rows = entries.filter(F.col("track").isin(ENTITY_TRACKS) & F.col("from_year").isNotNull()).withColumn("key", F.coalesce("qid", "label"))
@@ -65,6 +80,7 @@ def bounded(entries: DataFrame, entities: DataFrame, how: str = "inner") -> Data
         {
             "new_to": F.when(close, died.cast("bigint")).otherwise(F.col("to_year")),
             "from_circa": shorten & F.coalesce(F.col("inception_precision") < 9, false),
+            "from_precision": F.when(shorten & (F.col("inception_precision") < 9), F.col("inception_precision")),
             "actions": F.array_compact(F.array(F.when(apart, "incompatible"), F.when(shorten, "shorten"), F.when(close, "close"))),
         }
     )
@@ -118,16 +134,20 @@ def checked_qids(entries: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def without_redundant_ends(entries: DataFrame) -> DataFrame:
-    """Types of sites without an end that the next type's start already says."""
-    rows = entries.filter("track = 'site_type' and from_year is not null")
-    return rows.withColumn("to_year", F.when(F.col("to_year") < F.coalesce(F.lead("from_year").over(_in_order("site_id")), F.col("to_year") + 1), F.col("to_year")))
+    """Types of sites without an end that the next type's start already says; those without a start stay as they are."""
+    rows = entries.filter("track = 'site_type'")
+    order = Window.partitionBy("site_id", F.col("from_year").isNull()).orderBy("from_year", "ordinal")
+    after = F.coalesce(F.lead("from_year").over(order), F.col("to_year") + 1)
+    return rows.withColumn("to_year", F.when(F.col("from_year").isNull() | (F.col("to_year") < after), F.col("to_year")))
 
 
 def exclusive_state(entries: DataFrame) -> DataFrame:
-    """Co-occurrent entries of which only one at a time is the state's: the older is closed where the newer starts."""
-    rows = entries.filter(F.col("track").isin(LISTED_ONLY) & F.col("from_year").isNotNull())
-    order = Window.partitionBy("site_id", "track", F.col("role") == "state").orderBy("from_year", "ordinal")
-    after = F.when(F.col("role") == "state", F.lead("from_year").over(order))
+    """Co-occurrent entries of which only one at a time is the state's: the older is closed where the newer starts. Entries without a
+    start stay as they are."""
+    rows = entries.filter(F.col("track").isin(LISTED_ONLY))
+    states = F.coalesce((F.col("role") == "state") & F.col("from_year").isNotNull(), F.lit(False))
+    order = Window.partitionBy("site_id", "track", states).orderBy("from_year", "ordinal")
+    after = F.when(states, F.lead("from_year").over(order))
     over = (F.col("to_year").isNull() | (F.col("to_year") >= after)) & (after > F.col("from_year"))
     return rows.withColumn("to_year", F.when(F.coalesce(over, F.lit(False)), after).otherwise(F.col("to_year")))
 
@@ -186,6 +206,15 @@ def unresolved(missing: DataFrame, entries: DataFrame) -> DataFrame:
     return wanted.join(named.filter("key <> ''"), ["site_id", "kind", "key"], "left_anti").drop("key")
 
 
+def occurrences(missing: DataFrame, entries: DataFrame) -> DataFrame:
+    """(kind, name, site_id, from_year, to_year, role, confidence) of each gap at each site: the first entry of its track with its
+    plain name, nulls if there is none. Gaps that an entry of the site resolves with a QID are left out."""
+    open_ = unresolved(missing, entries).select("kind", "name", "site_id").distinct().withColumn("key", plain_name(F.col("name")))
+    told = entries.filter("label is not null").select("site_id", F.col("track").alias("kind"), plain_name(F.col("label")).alias("key"), "ordinal", "from_year", "to_year", "role", "confidence")
+    first = told.filter("key <> ''").groupBy("site_id", "kind", "key").agg(F.min_by(F.struct("from_year", "to_year", "role", "confidence"), "ordinal").alias("hit"))
+    return open_.join(first, ["site_id", "kind", "key"], "left").select("kind", "name", "site_id", "hit.from_year", "hit.to_year", "hit.role", "hit.confidence")
+
+
 def normalised_entries(entries: DataFrame) -> DataFrame:
     """All entries after the policy of their track: closing instructions of entity tracks are carried out, one state at a time,
     redundant ends of site types and all ends of names and populations go. Entries without a start stay as they are."""
@@ -197,7 +226,7 @@ def normalised_entries(entries: DataFrame) -> DataFrame:
     return (
         exclusive_state(done)
         .unionByName(done.filter(~F.col("track").isin(LISTED_ONLY)))
-        .unionByName(without_redundant_ends(entries).select(entries.columns))
+        .unionByName(without_redundant_ends(entries.filter(started)).select(entries.columns))
         .unionByName(rest)
     )
 
@@ -277,6 +306,15 @@ def bound_anomalies(entities: DataFrame) -> DataFrame:
     return entities.withColumn("anomalies", found).filter(F.size("anomalies") > 0)
 
 
+def filled_bounds(entities: DataFrame, found: DataFrame, source: str) -> DataFrame:
+    """Entities whose missing bounds are filled from ``found`` (qid, first, last), with ``bounds_source`` named where one was. Bounds
+    that are there stay. ``found`` has each QID once."""
+    rows = entities.join(found, "qid", "left")
+    more = (F.col("inception").isNull() & F.col("first").isNotNull()) | (F.col("dissolution").isNull() & F.col("last").isNotNull())
+    rows = rows.withColumn("bounds_source", F.when(more, source).otherwise(F.col("bounds_source")))
+    return rows.withColumns({"inception": F.coalesce("inception", "first"), "dissolution": F.coalesce("dissolution", "last")}).drop("first", "last")
+
+
 def tier(types: Column, override: list[str], subordinate: list[str]) -> Column:
     """sovereign by an overriding class, else subordinate by class, else sovereign by default."""
 

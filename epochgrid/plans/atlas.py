@@ -225,6 +225,37 @@ def gap_merge(spark, d):
     return m.groupBy(F.lower(F.trim("kind")).alias("kind"), "name").agg(F.countDistinct("site_id").alias("sites"), *first, F.min("site_id").alias("first_site"), F.max("site_id").alias("last_site"))
 
 
+_PARTED = "CAST(CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT) % CAST(ceil({1} / 1000.0) AS BIGINT) AS INTEGER)"
+
+
+@query(
+    f"""WITH g AS (SELECT DISTINCT lower(trim(kind)) AS kind, name, site_id FROM dm WHERE trim(name) <> ''), n AS (SELECT *, count(*) OVER (PARTITION BY kind, name) AS n FROM g)
+       SELECT kind, name, {_PARTED.format('site_id', 'n')} AS part, CAST(count(*) AS BIGINT) AS members, string_agg(site_id, ',' ORDER BY site_id) AS site_ids FROM n GROUP BY 1, 2, 3""",
+    "dm",
+)
+def gap_sites(spark, d):
+    """The set of sites of each gap, in parts, so that none grows with the data."""
+    m = silver.missing(spark, d, "timeline_dump").filter(F.trim("name") != "").withColumn("kind", F.lower(F.trim("kind")))
+    return merge.listed(m, ["kind", "name"], "site_id").withColumnRenamed("list", "site_ids")
+
+
+_PLAIN_KEY = "trim(regexp_replace(lower(regexp_replace({}, '\\([^)]*\\)', ' ', 'g')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH g AS (SELECT DISTINCT site_id, kind, name, {_PLAIN_KEY.format('name')} AS key FROM m WHERE kind IN ('polity', 'culture', 'religion', 'language') AND trim(name) <> ''),
+       h AS (SELECT site_id, track AS kind, {_PLAIN_KEY.format('label')} AS key, arg_min(struct_pack(f := from_year, t := to_year, r := role, c := confidence), ordinal) AS hit FROM e WHERE label IS NOT NULL GROUP BY 1, 2, 3)
+       SELECT g.kind, g.name, g.site_id, hit.f AS from_year, hit.t AS to_year, hit.r AS role, hit.c AS confidence FROM g LEFT JOIN h ON h.site_id = g.site_id AND h.kind = g.kind AND h.key = g.key AND g.key <> ''
+       WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.site_id = g.site_id AND e.track = g.kind AND e.qid IS NOT NULL AND {_PLAIN_KEY.format('e.label')} = g.key AND g.key <> '')""",
+    "e m",
+)
+def gap_occurrences(spark, d):
+    """One row for each gap and site, with the entry of the site that it is about; a site's row replaces the one it had."""
+    from epochgrid.operators.quality import occurrences
+
+    return occurrences(silver.missing(spark, d), silver.entries(spark, d, ["polity", "culture", "religion", "language"]))
+
+
 @query(
     """SELECT proposed_qid, CAST(count(*) AS BIGINT) AS gaps FROM (SELECT DISTINCT lower(trim(kind)) AS kind, name, proposed_qid FROM dm WHERE proposed_qid IS NOT NULL AND trim(name) <> '') GROUP BY proposed_qid HAVING count(*) > 1""",
     "dm",
@@ -338,16 +369,23 @@ def country_hulls(spark, d):
 
 
 @query(
-    """WITH RECURSIVE r AS (SELECT n_nationkey AS node, n_nationkey AS root, 0 AS depth FROM nation WHERE n_nationkey % 5 = 0 UNION SELECT n.n_nationkey, r.root, r.depth + 1 FROM nation n JOIN r ON n.n_nationkey <> r.node AND CAST(floor(n.n_nationkey / 2) AS INTEGER) = r.node)
-       SELECT node, min(depth) AS depth, CAST(count(DISTINCT root) AS BIGINT) AS roots FROM r GROUP BY node"""
+    """WITH RECURSIVE g AS (SELECT 'nation ' || n_nationkey AS child, 'region ' || n_regionkey AS parent FROM nation UNION SELECT 'supplier ' || s_suppkey, 'nation ' || s_nationkey FROM supplier
+         UNION SELECT 'customer ' || c_custkey, 'nation ' || c_nationkey FROM customer UNION SELECT 'order ' || o_orderkey, 'customer ' || o_custkey FROM orders),
+       r AS (SELECT parent AS node, parent AS root FROM g WHERE starts_with(parent, 'region') UNION SELECT g.child, r.root FROM g JOIN r ON g.parent = r.node)
+       SELECT DISTINCT node, root FROM r"""
 )
 def class_closure(spark, d):
-    table(spark, d, "nation").createOrReplaceTempView("closure_nation")
-    return spark.sql(
-        """WITH RECURSIVE r AS (SELECT n_nationkey AS node, n_nationkey AS root, 0 AS depth FROM closure_nation WHERE n_nationkey % 5 = 0
-             UNION ALL SELECT n.n_nationkey, r.root, r.depth + 1 FROM closure_nation n JOIN r ON n.n_nationkey <> r.node AND CAST(floor(n.n_nationkey / 2) AS INT) = r.node)
-           SELECT node, min(depth) AS depth, count(DISTINCT root) AS roots FROM r GROUP BY node"""
-    )
+    """All below each region, by whatever number of steps."""
+    from epochgrid.operators.curation import closure
+
+    def edges(name: str, child: str, key: str, parent: str, up: str):
+        return table(spark, d, name).select(F.concat_ws(" ", F.lit(child), key).alias("child"), F.concat_ws(" ", F.lit(parent), up).alias("parent"))
+
+    levels = [("nation", "nation", "n_nationkey", "region", "n_regionkey"), ("supplier", "supplier", "s_suppkey", "nation", "s_nationkey"), ("customer", "customer", "c_custkey", "nation", "c_nationkey"), ("orders", "order", "o_orderkey", "customer", "o_custkey")]
+    g = edges(*levels[0])
+    for level in levels[1:]:
+        g = g.unionByName(edges(*level))
+    return closure(g, g.filter(F.col("parent").startswith("region")).select(F.col("parent").alias("node")).distinct())
 
 
 _STAMP = "CASE WHEN inception < 0 THEN '-' ELSE '' END || lpad(CAST(abs(inception) AS VARCHAR), 4, '0') || '-01-01T00:00:00Z'"
@@ -389,16 +427,21 @@ def ruler_cells(spark, d):
     return rows.select(F.explode(F.sequence("f", F.col("t") - 1, F.col("s"))).alias("from_year"), F.col("s").alias("step"))
 
 
+_HASH = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split({}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: (xor(a, b) * 16777619) % 4294967296)"
+
+
 @query(
-    """WITH h AS (SELECT qid, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(qid, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: (xor(a, b) * 16777619) % 4294967296) AS h FROM wikidata_entities WHERE qid IS NOT NULL)
-       SELECT qid, h AS hash, round(((h / 4294967295.0 + 0.618033988749895) % 1) * 360, 6) AS hue, CAST([62, 48, 74, 38][1 + h % 4] AS INTEGER) AS saturation, CAST([52, 42, 62, 34, 70][1 + (h // 4) % 5] AS INTEGER) AS lightness FROM h"""
+    f"""WITH h AS (SELECT qid, {_HASH.format('qid')} AS h, {_HASH.format("CASE WHEN family_label <> '' THEN family_label ELSE qid END")} AS seed, coalesce(family_label <> '', false) AS related
+         FROM wikidata_entities WHERE qid IS NOT NULL),
+       c AS (SELECT qid, round((((seed / 4294967295.0 + 0.618033988749895) % 1) * 360 + CASE WHEN related THEN h % 25 - 12 ELSE 0 END) % 360, 1) AS hue,
+         CAST([62, 48, 74, 38][1 + h % 4] AS INTEGER) AS saturation, CAST([52, 42, 62, 34, 70][1 + (h // 4) % 5] AS INTEGER) AS lightness FROM h)
+       SELECT *, least(100, saturation + 12) AS stroke_saturation, greatest(12, lightness - 24) AS stroke_lightness FROM c"""
 )
 def hull_color(spark, d):
-    rows = table(spark, d, "wikidata_entities").filter("qid is not null").select("qid", numbers.fnv1a(F.col("qid")).alias("hash"))
-    hue = F.round(((F.col("hash") / 4294967295.0 + 0.618033988749895) % 1) * 360, 6)
-    sat = F.element_at(F.array(*[F.lit(x) for x in (62, 48, 74, 38)]), (1 + F.col("hash") % 4).cast("int"))
-    light = F.element_at(F.array(*[F.lit(x) for x in (52, 42, 62, 34, 70)]), (1 + F.floor(F.col("hash") / 4) % 5).cast("int"))
-    return rows.select("qid", "hash", hue.alias("hue"), sat.alias("saturation"), light.alias("lightness"))
+    hue, saturation, lightness = numbers.entity_color(F.col("qid"), F.col("family_label"))
+    rows = table(spark, d, "wikidata_entities").filter("qid is not null").select("qid", hue.alias("hue"), saturation.alias("saturation"), lightness.alias("lightness"))
+    border = numbers.stroke(F.col("saturation"), F.col("lightness"))
+    return rows.select("*", border[0].alias("stroke_saturation"), border[1].alias("stroke_lightness"))
 
 
 _CLEAN = "text"

@@ -55,14 +55,16 @@ def source_provenance(spark, d):
 
 
 @query(
-    """SELECT track, qid, arg_max(label, struct_pack(a := site_id, b := ordinal)) AS label FROM e WHERE track IN ('polity', 'culture') AND confidence = 'high' AND regexp_full_match(qid, 'Q[0-9]+')
-       AND qid NOT IN (SELECT qid FROM wikidata_entities WHERE sitelinks_count >= 5) AND label IS NOT NULL GROUP BY track, qid""",
+    """SELECT track, qid, arg_max(label, struct_pack(a := site_id, b := ordinal)) AS label, NOT EXISTS (SELECT 1 FROM wikidata_entities w WHERE w.qid = e.qid) AS fresh
+       FROM e WHERE track IN ('polity', 'culture') AND confidence = 'high' AND regexp_full_match(qid, 'Q[0-9]+') AND label IS NOT NULL GROUP BY track, qid""",
     "e",
 )
 def reliable_new_entities(spark, d):
+    """Entities that sure entries name; those not in the list at all are fresh and would be inserted, the others change nothing."""
     e = silver.entries(spark, d, ["polity", "culture"]).filter((F.col("confidence") == "high") & F.col("qid").rlike(r"^Q\d+$") & F.col("label").isNotNull())
-    fresh = e.join(table(spark, d, "wikidata_entities").filter("sitelinks_count >= 5").select("qid"), "qid", "left_anti")
-    return fresh.groupBy("track", "qid").agg(F.max_by("label", F.struct("site_id", "ordinal")).alias("label"))
+    named = e.groupBy("track", "qid").agg(F.max_by("label", F.struct("site_id", "ordinal")).alias("label"))
+    listed = table(spark, d, "wikidata_entities").select("qid", F.lit(False).alias("fresh")).distinct()
+    return named.join(listed, "qid", "left").select("track", "qid", "label", F.coalesce("fresh", F.lit(True)).alias("fresh"))
 
 
 @query(
@@ -180,7 +182,6 @@ def extraction_pipeline(spark, d):
 def stream_event_windows(spark, d):
     """The stream of events by day and type, worked off to its end."""
     import os
-    import uuid
 
     from epochgrid.streaming import queue
 
@@ -188,7 +189,14 @@ def stream_event_windows(spark, d):
     single = os.path.isfile(f"{d}/events.parquet")
     stream = queue.landed(spark, d if single else f"{d}/events.parquet", schema, pattern="events.parquet" if single else None)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"windows_{uuid.uuid4().hex}"
+    folder = queue.scratch(spark)
     found = queue.windowed(stream, "ts", "event_type", "value", "1 day", "1 hour")
-    found.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "events", F.round("total", 4).alias("total"))
+    done = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append")
+    done.trigger(availableNow=True).start().awaitTermination()
+    closed = spark.read.schema(found.schema).parquet(f"{folder}/out")
+    # the windows that the watermark hasn't closed when the stream ends: those of its last events, worked out from the landed rows
+    rows = spark.read.schema(schema).parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    seen = closed.agg(F.max("start").alias("last"))
+    rest = rows.crossJoin(F.broadcast(seen)).filter(F.col("last").isNull() | (F.col("ts") >= F.col("last") + F.expr("interval 1 day")))
+    rest = rest.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "events", "total")
+    return closed.unionByName(rest).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "events", F.round("total", 4).alias("total"))

@@ -65,7 +65,7 @@ def years_shown(spark, d):
 @query(
     """WITH g AS (SELECT e.qid, e.track AS kind, w.label_en AS label, CAST(count(DISTINCT s.id) AS BIGINT) AS sites, CAST(count(DISTINCT s.id) FILTER (WHERE coalesce(enrichment_level, 'indexed') = 'indexed') AS BIGINT) AS indexed,
          CAST(count(DISTINCT s.id) FILTER (WHERE enrichment_level = 'extracted') AS BIGINT) AS extracted FROM e JOIN s ON s.id = e.site_id JOIN wikidata_entities w ON w.qid = e.qid WHERE e.track IN ('polity', 'culture') GROUP BY 1, 2, 3)
-       SELECT *, CAST(row_number() OVER (ORDER BY indexed DESC, sites DESC, label, qid, kind) AS INTEGER) AS position FROM g WHERE extracted > 0 ORDER BY indexed DESC, sites DESC, label, qid, kind LIMIT 100""",
+       SELECT *, CAST(row_number() OVER (ORDER BY indexed DESC, sites DESC, label, qid, kind) AS INTEGER) AS position FROM g WHERE extracted > 0 ORDER BY indexed DESC, sites DESC, label, qid, kind""",
     "e",
 )
 def attribution_board(spark, d):
@@ -78,7 +78,7 @@ def attribution_board(spark, d):
         F.countDistinct("site_id").alias("sites"), F.countDistinct(F.when(level == "indexed", F.col("site_id"))).alias("indexed"), F.countDistinct(F.when(level == "extracted", F.col("site_id"))).alias("extracted")
     )
     order = [F.col("indexed").desc(), F.col("sites").desc(), "label", "qid", "kind"]
-    return board.filter("extracted > 0").orderBy(*order).limit(100).withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    return board.filter("extracted > 0").withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
 
 @query(

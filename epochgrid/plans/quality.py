@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from epochgrid.operators import quality as q
+from epochgrid.operators.merge import listed, replaced
 from epochgrid.operators.timelines import timeline_items
+from epochgrid.plans.atlas import _PARTED
 from epochgrid.plans.registry import query
 from epochgrid.sources import silver
 from epochgrid.sources.tables import table
@@ -33,29 +35,55 @@ _HELD = f"""k AS (SELECT *, coalesce(qid, label) AS key FROM e WHERE track IN {K
 
 @query(
     f"""WITH {_HELD} SELECT site_id, track, ordinal, qid, new_from, CASE WHEN closes THEN CAST(dissolution AS BIGINT) ELSE to_year END AS new_to,
-        shorten AND coalesce(inception_precision < 9, false) AS from_circa,
+        shorten AND coalesce(inception_precision < 9, false) AS from_circa, CASE WHEN shorten AND inception_precision < 9 THEN inception_precision END AS from_precision,
         concat_ws(',', CASE WHEN apart THEN 'incompatible' END, CASE WHEN shorten THEN 'shorten' END, CASE WHEN closes THEN 'close' END) AS actions FROM h""",
     "e",
 )
 def entity_bounds_applied(spark, d):
     held = q.bounded(silver.entries(spark, d, q.ENTITY_TRACKS), _entities(spark, d))
-    return held.select("site_id", "track", "ordinal", "qid", "new_from", "new_to", "from_circa", F.array_join("actions", ",").alias("actions"))
+    return held.select("site_id", "track", "ordinal", "qid", "new_from", "new_to", "from_circa", "from_precision", F.array_join("actions", ",").alias("actions"))
 
 
 @query(
     f"""WITH {_HELD}, a AS (SELECT *, unnest(list_filter([CASE WHEN apart THEN 'incompatible' END, CASE WHEN shorten THEN 'shorten' END, CASE WHEN closes THEN 'close' END], lambda x: x IS NOT NULL)) AS action FROM h)
-        SELECT qid AS entity_qid, track, CAST(count(*) AS BIGINT) AS conflicts, CAST(count(DISTINCT site_id) AS BIGINT) AS sites,
-        string_agg(site_id || '/' || from_year || '/' || action, ' ' ORDER BY site_id, from_year, action, ordinal) AS rows FROM a GROUP BY qid, track""",
+        , rn AS (SELECT *, site_id || '/' || track || '/' || from_year || '/' || action || '/' || ordinal AS row FROM a), cn AS (SELECT *, count(*) OVER (PARTITION BY qid, track) AS n FROM rn)
+        SELECT qid AS entity_qid, track, {_PARTED.format('row', 'n')} AS part, CAST(count(*) AS BIGINT) AS conflicts, string_agg(row, ',' ORDER BY row) AS rows FROM cn GROUP BY 1, 2, 3""",
     "e",
 )
 def bounds_conflicts_grouped(spark, d):
+    """The conflicts of each entity, in parts of about a thousand."""
     held = q.bounded(silver.entries(spark, d, q.ENTITY_TRACKS), _entities(spark, d))
     rows = held.select("site_id", "track", F.col("qid").alias("entity_qid"), F.explode("actions").alias("action"), "from_year", "ordinal")
-    text = F.transform(
-        F.array_sort(F.collect_list(F.struct("site_id", "from_year", "action", "ordinal"))),
-        lambda r: F.concat_ws("/", r["site_id"], r["from_year"].cast("string"), r["action"]),
-    )
-    return rows.groupBy("entity_qid", "track").agg(F.count("*").alias("conflicts"), F.countDistinct("site_id").alias("sites"), F.array_join(text, " ").alias("rows"))
+    rows = rows.withColumn("row", F.concat_ws("/", "site_id", "track", "from_year", "action", "ordinal"))
+    return listed(rows, ["entity_qid", "track"], "row").withColumnsRenamed({"members": "conflicts", "list": "rows"})
+
+
+@query(
+    f"""WITH {_HELD}, a AS (SELECT site_id, track, ordinal, qid AS entity_qid, from_year, to_year FROM h WHERE apart),
+        t AS (SELECT DISTINCT site_id FROM site_extractions WHERE confirmed)
+        SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.site_id = a.site_id) UNION ALL SELECT * FROM a WHERE track IN ('polity', 'culture') AND EXISTS (SELECT 1 FROM t WHERE t.site_id = a.site_id)""",
+    "e",
+)
+def bounds_conflicts_state(spark, d):
+    """What is kept of conflicts a human must decide: those of confirmed sites are taken anew, of their step tracks only."""
+    held = q.bounded(silver.entries(spark, d, q.ENTITY_TRACKS), _entities(spark, d)).filter(F.array_contains("actions", "incompatible"))
+    hard = held.select("site_id", "track", "ordinal", F.col("qid").alias("entity_qid"), "from_year", "to_year")
+    again = table(spark, d, "site_extractions").filter("confirmed").select("site_id")
+    return replaced(hard, hard.filter(F.col("track").isin("polity", "culture")), again, "site_id")
+
+
+@query(
+    """WITH n AS (SELECT qid, min(from_year) AS i, max(to_year) AS x FROM e WHERE qid IS NOT NULL AND confidence = 'high' GROUP BY qid)
+       SELECT w.qid, coalesce(w.inception, CAST(i AS INTEGER)) AS inception, coalesce(w.dissolution, CAST(x AS INTEGER)) AS dissolution,
+         CASE WHEN (w.inception IS NULL AND i IS NOT NULL) OR (w.dissolution IS NULL AND x IS NOT NULL) THEN 'timelines' ELSE bounds_source END AS bounds_source
+       FROM wikidata_entities w LEFT JOIN n ON n.qid = w.qid""",
+    "e",
+)
+def bounds_provenance(spark, d):
+    """Bounds that the list lacks, filled from sure entries of the timelines, and where they come from."""
+    e = silver.entries(spark, d, q.ENTITY_TRACKS).filter("qid is not null and confidence = 'high'")
+    found = e.groupBy("qid").agg(F.min("from_year").try_cast("int").alias("first"), F.max("to_year").try_cast("int").alias("last"))
+    return q.filled_bounds(_entities(spark, d), found, "timelines").select("qid", "inception", "dissolution", "bounds_source")
 
 
 @query("SELECT qid, label_en, inception, inception_precision, dissolution FROM wikidata_entities WHERE active AND (inception IS NOT NULL OR dissolution IS NOT NULL)")
@@ -88,7 +116,7 @@ def qid_validation(spark, d):
 
 @query(
     """SELECT site_id, ordinal, from_year, CASE WHEN to_year < coalesce(lead(from_year) OVER (PARTITION BY site_id ORDER BY from_year, ordinal), to_year + 1) THEN to_year END AS to_year, label
-       FROM e WHERE track = 'site_type' AND from_year IS NOT NULL""",
+       FROM e WHERE track = 'site_type' AND from_year IS NOT NULL UNION ALL SELECT site_id, ordinal, from_year, to_year, label FROM e WHERE track = 'site_type' AND from_year IS NULL""",
     "e",
 )
 def site_type_ends(spark, d):
@@ -103,7 +131,8 @@ def cooccurrent_fold(spark, d):
 @query(
     """WITH n AS (SELECT *, CASE WHEN role = 'state' THEN lead(from_year) OVER (PARTITION BY site_id, track, role = 'state' ORDER BY from_year, ordinal) END AS next
          FROM e WHERE track IN ('religion', 'language') AND from_year IS NOT NULL)
-       SELECT site_id, track, ordinal, from_year, CASE WHEN coalesce((to_year IS NULL OR to_year >= next) AND next > from_year, false) THEN next ELSE to_year END AS to_year FROM n""",
+       SELECT site_id, track, ordinal, from_year, CASE WHEN coalesce((to_year IS NULL OR to_year >= next) AND next > from_year, false) THEN next ELSE to_year END AS to_year FROM n
+       UNION ALL SELECT site_id, track, ordinal, from_year, to_year FROM e WHERE track IN ('religion', 'language') AND from_year IS NULL""",
     "e",
 )
 def state_exclusivity(spark, d):
@@ -189,19 +218,26 @@ def gap_verification(spark, d):
     return q.proposals(silver.missing(spark, d, "timeline_dump"), _entities(spark, d)).select("site_id", "ordinal", "proposed_qid", "verdict")
 
 
+#: Rows of the report of gaps to resolve first.
+RESOLVED_FIRST = 200
+
+
 @query(
-    """SELECT kind, name, sites, CAST(row_number() OVER (ORDER BY sites DESC, first_site, kind, name) AS INTEGER) AS position FROM (
-         SELECT lower(trim(kind)) AS kind, name, CAST(count(DISTINCT site_id) AS BIGINT) AS sites, min(site_id) AS first_site FROM m WHERE trim(name) <> '' GROUP BY 1, 2)
-       ORDER BY sites DESC, first_site, kind, name LIMIT 50""",
+    f"""SELECT kind, name, sites, first_seen, CAST(row_number() OVER (ORDER BY sites DESC, first_seen NULLS LAST, kind, name) AS INTEGER) AS position FROM (
+         SELECT lower(trim(kind)) AS kind, name, CAST(count(DISTINCT site_id) AS BIGINT) AS sites, min(timeline_extracted_at) AS first_seen FROM m JOIN s ON s.id = m.site_id WHERE trim(name) <> '' GROUP BY 1, 2)
+       ORDER BY sites DESC, first_seen NULLS LAST, kind, name LIMIT {RESOLVED_FIRST}""",
     "m",
 )
-def gap_resolution_order(spark, d):
+def gap_resolution_order(spark, d, limit: int = RESOLVED_FIRST):
+    """The gaps to resolve first: of most sites, then the oldest; a top-k report."""
     from pyspark.sql import Window
 
-    gaps = silver.missing(spark, d).filter(F.trim("name") != "").groupBy(F.lower(F.trim("kind")).alias("kind"), "name").agg(F.countDistinct("site_id").alias("sites"), F.min("site_id").alias("first_site"))
-    order = [F.col("sites").desc(), "first_site", "kind", "name"]
-    top = gaps.orderBy(*order).limit(50)  # the report is a top 50; the window runs over those only
-    return top.withColumn("position", F.row_number().over(Window.orderBy(*order))).drop("first_site")
+    seen = silver.sites(spark, d).select(F.col("id").alias("site_id"), F.col("timeline_extracted_at").alias("seen"))
+    m = silver.missing(spark, d).filter(F.trim("name") != "").join(seen, "site_id")
+    gaps = m.groupBy(F.lower(F.trim("kind")).alias("kind"), "name").agg(F.countDistinct("site_id").alias("sites"), F.min("seen").alias("first_seen"))
+    order = [F.col("sites").desc(), F.col("first_seen").asc_nulls_last(), "kind", "name"]
+    top = gaps.orderBy(*order).limit(limit)  # the window runs over those only
+    return top.withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
 
 @query(
@@ -213,9 +249,12 @@ def qid_backfill(spark, d):
     return q.backfilled(silver.entries(spark, d, q.ENTITY_TRACKS), _entities(spark, d)).select("site_id", "track", "ordinal", "label", "found")
 
 
-@query("SELECT qid, label_en FROM wikidata_entities WHERE regexp_matches(lower(description_en), '\\b(former|historical|ancient|highland|steppe)\\b')")
+@query(
+    f"""SELECT qid, label_en, CASE WHEN qid IN ({", ".join(f"'{x}'" for x in q.NOT_TODAY)}) THEN 'known' ELSE 'description' END AS skipped FROM wikidata_entities
+        WHERE qid IN ({", ".join(f"'{x}'" for x in q.NOT_TODAY)}) OR (regexp_matches(lower(description_en), '{q.HISTORICAL}') AND NOT regexp_matches(lower(description_en), '{q.CURRENT}'))"""
+)
 def historical_by_description(spark, d):
-    return _entities(spark, d).filter(F.lower("description_en").rlike(r"\b(former|historical|ancient|highland|steppe)\b")).select("qid", "label_en")
+    return q.historical(_entities(spark, d)).filter("skipped is not null").select("qid", "label_en", "skipped")
 
 
 @query(

@@ -28,7 +28,7 @@ def local_session(name: str = "epochgrid", cores: int | None = None) -> SparkSes
     return spark
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     Only where that is unset (tests, a laptop) a folder of this machine is used, and removed at the end.
@@ -47,7 +47,7 @@ def _folder(spark: SparkSession) -> str:
 
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage in the shared folder."""
-    _folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=eager)
 
 
@@ -58,7 +58,7 @@ def written(df: DataFrame) -> DataFrame:
     until the planner spends its time on numbers of millions of digits. A table's size is known.
     """
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -173,6 +173,13 @@ def test_queues(spark, tmp_path):
     queue.keep_latest(stream(), "id", ["at"], str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     last = max(int(p.name) for p in (tmp_path / "out").iterdir())
     assert {(r["id"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out" / str(last))).collect()} == {("a", 2), ("b", 1)}
+    put(2, [("b", "2024-01-03 00:00:00", 3), ("c", "2023-01-01 00:00:00", 3)])
+    for _ in range(2):  # all again with new checkpoints, then nothing new
+        queue.keep_latest(stream(), "id", ["at"], str(tmp_path / "out"), str(tmp_path / "d")).awaitTermination()
+    assert {(r["id"], r["n"]) for r in queue.latest_state(spark, str(tmp_path / "out")).collect()} == {("a", 2), ("b", 3), ("c", 3)}
+    assert len(list((tmp_path / "out").iterdir())) <= 2
+    line = spark.createDataFrame([("a", "processing", 5), ("b", "processing", 9), ("c", "done", 1), ("d", None, None)], "id string, status string, at int")
+    assert [r["status"] for r in queue.requeued(line, "status", "at", 7).orderBy("id").collect()] == ["pending", "processing", "done", None]
     counted = queue.windowed(stream(), "at", "id", "n", "1 day", "1 hour")
     run = counted.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
