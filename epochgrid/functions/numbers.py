@@ -35,6 +35,16 @@ def importance(site_type: Column, population: Column, timeline: Column) -> Colum
     return F.least(F.lit(100), score + people + F.when(timeline, 10).otherwise(0))
 
 
+def importance_shown(site_type: Column, population: Column, timeline: Column, events: Column) -> Column:
+    """The score that a viewer works out: as ``importance``, but the population's share is cut to a whole number instead of rounded, and
+    events add 5. A population that is null counts nothing, one below 1 as 1."""
+    score = F.lit(20)
+    for name, value in TYPE_SCORE.items():
+        score = F.when(site_type == name, value).otherwise(score)
+    people = F.when(population.isNotNull(), F.least(F.lit(30), F.floor(F.log10(F.greatest(population, F.lit(1)).cast("double")) * 8))).otherwise(0)
+    return F.least(F.lit(100), score + people + F.when(timeline, 10).otherwise(0) + F.when(F.coalesce(events, F.lit(False)), 5).otherwise(0)).cast("int")
+
+
 def at_zoom(table: dict[int, int], zoom: float) -> int:
     return table[min(12, max(2, int(zoom // 1)))]
 

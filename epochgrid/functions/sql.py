@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from epochgrid.functions.numbers import TYPE_SCORE
+from epochgrid.functions.text import _FROM, _TO
 
 _ENTRIES = "ARRAY<STRUCT<`from`: BIGINT, ordinal: INT, `to`: BIGINT, value: STRING>>"
 _SCORES = " ".join(f"WHEN '{k}' THEN {v}" for k, v in TYPE_SCORE.items())
 
 FUNCTIONS = {
+    "f_unaccent(term STRING)": ("STRING", f"translate(regexp_replace(term, '[\\u0300-\\u036F]', ''), '{_FROM}', '{_TO}')"),
+    "sites_build_search_text(title STRING, names MAP<STRING, STRING>, native STRING, told ARRAY<STRING>)": (
+        "STRING",
+        "nullif(array_join(array_sort(array_distinct(filter(concat(array(title, native), coalesce(map_values(names), array()), coalesce(told, array())), t -> t <> ''))), ' '), '')",
+    ),
     "role_rank(role STRING)": ("INT", "CASE role WHEN 'state' THEN 0 WHEN 'major' THEN 1 WHEN 'minor' THEN 2 WHEN 'minority' THEN 3 ELSE 9 END"),
     "base_importance(sitelinks INT, article STRING)": (
         "INT",

@@ -53,3 +53,8 @@ def role_rank(role: Column) -> Column:
     for k, name in reversed(list(enumerate(["state", "major", "minor", "minority"]))):
         rank = F.when(role == name, k).otherwise(rank)
     return rank
+
+
+def by_locale(c: Column, collation: str = "UNICODE") -> Column:
+    """A text as a key of order by the rules of a language: accents and case decide last, nulls stay."""
+    return F.collate(c, collation)

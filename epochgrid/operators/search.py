@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -79,19 +80,18 @@ def found(texts: DataFrame, text: str, needle: str, fuzzy: bool = True) -> DataF
     rows = texts.withColumn("__have", have).withColumn("score", exact)
     if not fuzzy:
         return rows.filter("score > 0").drop("__have")
-    grams = sorted({t.strip() for w in _words(key) for t in _trigrams(w) if len(t.strip()) == 3})
-
     @F.pandas_udf("double")
     def similarity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(lambda x: word_similarity(key, x) if x else 0.0)
 
-    if grams:  # similar words share a trigram; those of word ends are tested by their letters
-        ends = {t.strip() for w in _words(key) for t in _trigrams(w)}
-        maybe = F.lit(False)
-        for g in sorted(ends):
-            maybe = maybe | F.col("__have").contains(g)
-        rows = rows.filter((F.col("score") > 0) | maybe)
+    # so many of the needle's trigrams, ends of words included, a text must hold to be similar enough at best
+    wanted = sorted({t for w in _words(key) for t in _trigrams(w)})
+    padded = F.concat(F.lit("  "), F.regexp_replace(F.lower("__have"), r"[^\p{L}\p{N}]+", "   "), F.lit(" "))
+    held = F.lit(0)
+    for gram in wanted:
+        held = held + F.col("__padded").contains(gram).cast("int")
+    rows = rows.withColumn("__padded", padded).filter((F.col("score") > 0) | (held >= math.ceil(LEAST * len(wanted)))).drop("__padded")
     rows = rows.withColumn("score", F.greatest("score", F.when(F.col("score") < 1, similarity("__have")).otherwise(F.lit(0.0))))
     return rows.filter(F.col("score") >= LEAST).drop("__have")
 

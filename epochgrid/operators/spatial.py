@@ -218,40 +218,55 @@ def located(points: DataFrame, key: str, lon: str, lat: str) -> DataFrame:
 
 
 class Sweep:
-    """Regions by a plane sweep over their edges: for each stretch between two stops, the edges in order from south to
-    north with the regions right above each."""
+    """Regions by a plane sweep over their edges, from west to east; between two stops the edges keep their order from south to
+    north, each with the regions right above it.
+
+    Edges lie in buckets of stops, sized so that all buckets together hold ``COPIES`` times the edges at most; the order between two
+    stops is worked out from its bucket when a point first falls there, and kept while what is kept has ``KEPT`` edges at most.
+    """
+
+    COPIES, KEPT = 8, 1_000_000
 
     def __init__(self, region: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray):
         swap = x1 > x2
         x1, x2, y1, y2 = np.where(swap, x2, x1), np.where(swap, x1, x2), np.where(swap, y2, y1), np.where(swap, y1, y2)
         slanted = x1 < x2  # an upright edge decides nothing
-        region, x1, y1, x2, y2 = region[slanted], x1[slanted], y1[slanted], x2[slanted], y2[slanted]
+        self.region, x1, y1, x2, y2 = region[slanted], x1[slanted], y1[slanted], x2[slanted], y2[slanted]
         self.stops = np.unique(np.r_[x1, x2])
-        self.slabs: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]] = []
-        begins = np.searchsorted(self.stops, x1)
-        ends = np.searchsorted(self.stops, x2)
-        by_begin, by_end = np.argsort(begins, kind="stable"), np.argsort(ends, kind="stable")
-        active: set[int] = set()
-        p = q = 0
-        for k in range(max(0, len(self.stops) - 1)):
-            while q < len(by_end) and ends[by_end[q]] <= k:
-                active.discard(int(by_end[q]))
-                q += 1
-            while p < len(by_begin) and begins[by_begin[p]] <= k:
-                active.add(int(by_begin[p]))
-                p += 1
-            e = np.array(sorted(active), np.int64)
-            middle = (self.stops[k] + self.stops[k + 1]) / 2
-            slope = (y2[e] - y1[e]) / (x2[e] - x1[e])
-            base = y1[e] - slope * x1[e]
-            order = np.argsort(base + slope * middle, kind="stable")
-            e, slope, base = e[order], slope[order], base[order]
-            open_now: set[int] = set()
-            above = []
-            for r in region[e]:
-                open_now ^= {int(r)}
-                above.append(sorted(open_now))
-            self.slabs.append((slope, base, slope * middle + base, above))
+        self.slope = (y2 - y1) / (x2 - x1)
+        self.base = y1 - self.slope * x1
+        self.begin, self.end = np.searchsorted(self.stops, x1), np.searchsorted(self.stops, x2)
+        self.width = 1
+        while (copies := (self.end - 1) // self.width - self.begin // self.width + 1).sum() > self.COPIES * max(1, len(x1)):
+            self.width *= 2
+        edge = np.repeat(np.arange(len(x1)), copies)
+        bucket = np.repeat(self.begin // self.width, copies) + np.arange(len(edge)) - np.repeat(np.cumsum(copies) - copies, copies)
+        order = np.argsort(bucket, kind="stable")
+        self.edge = edge[order]
+        self.starts = np.searchsorted(bucket[order], np.arange(len(self.stops) // self.width + 2))
+        self.kept: dict[int, tuple[np.ndarray, np.ndarray, list[list[int]]]] = {}
+        self.held = 0
+
+    def slab(self, k: int) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+        """(slope, base, regions above) of the edges between the stops k and k + 1, from south to north."""
+        if k in self.kept:
+            return self.kept[k]
+        b = k // self.width
+        e = self.edge[self.starts[b] : self.starts[b + 1]]
+        e = e[(self.begin[e] <= k) & (self.end[e] > k)]
+        middle = (self.stops[k] + self.stops[k + 1]) / 2
+        e = e[np.argsort(self.base[e] + self.slope[e] * middle, kind="stable")]
+        open_now: set[int] = set()
+        above = []
+        for r in self.region[e]:
+            open_now ^= {int(r)}
+            above.append(sorted(open_now))
+        size = len(e) + sum(map(len, above))
+        if self.held + size > self.KEPT:
+            self.kept, self.held = {}, 0
+        self.kept[k] = self.slope[e], self.base[e], above
+        self.held += size
+        return self.kept[k]
 
     def containing(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(point, region) for each region that holds a point; a region's south and west edges belong to it."""
@@ -262,9 +277,11 @@ class Sweep:
         for a, b in zip(cuts[:-1], cuts[1:]):
             at = order[a:b]
             k = slab[at[0]] if len(at) else -1
-            if not 0 <= k < len(self.slabs):
+            if not 0 <= k < len(self.stops) - 1:
+                continue
+            slope, base, above = self.slab(int(k))
+            if not len(base):
                 continue
-            slope, base, _, above = self.slabs[k]
             # edges don't cross inside a slab, so they are in order at each x; all flat ones share one search
             if not slope.any():
                 below = np.searchsorted(base, y[at], "right") - 1
@@ -284,12 +301,12 @@ class Sweep:
         return np.array(points, np.int64), np.array(regions, np.int64)
 
 
-def in_regions(points: DataFrame, edges: DataFrame, strip: float = 5.0, most: int = EDGES) -> DataFrame:
+def in_regions(points: DataFrame, edges: DataFrame, most: int = EDGES) -> DataFrame:
     """(key, region) of each point (key, lon, lat) inside a region given by its edges (region, x1, y1, x2, y2).
 
     Regions are simple polygons, any number of rings each, whose edges don't cross inside one another; a point on a south
     or west edge is inside, on a north or east edge outside. Up to ``most`` edges the sweep is made once and sent to the
-    tasks; beyond it points and edges meet by strips of longitude, edges cut at the strips' borders.
+    tasks; beyond it points and edges meet by strips of longitude that hold about ``most`` edges, edges cut at the strips' borders.
     """
     spark = points.sparkSession
     points = points.select("key", "lon", "lat")
@@ -313,28 +330,38 @@ def in_regions(points: DataFrame, edges: DataFrame, strip: float = 5.0, most: in
 
         return points.mapInArrow(local, "key string, region string")
 
+    # beyond it: strips of longitude with about as many edges each, and points of a crowded strip in parts that all get its edges
+    many, most = edges.count(), max(1, most)
+    cuts = sorted(set(edges.approxQuantile("x1", [k / (many // most + 1) for k in range(1, many // most + 1)], 0.01)))
+    inner = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
+    strip_of = lambda x: F.size(F.filter(inner, lambda c: c <= x))
+    borders = F.array(*[F.lit(float(c)) for c in [-1e9, *cuts, 1e9]])
+    placed = points.withColumn("strip", strip_of(F.col("lon")))
+    parts = F.broadcast(placed.groupBy("strip").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")))  # one row a strip
     west, east = F.least("x1", "x2"), F.greatest("x1", "x2")
-    cut = edges.filter("x1 <> x2").withColumn("strip", F.explode(F.sequence(F.floor(west / strip), F.floor(east / strip))))
-    a, b = F.greatest(west, F.col("strip") * strip), F.least(east, (F.col("strip") + 1) * strip)
+    cut = edges.filter("x1 <> x2").withColumn("strip", F.explode(F.sequence(strip_of(west), strip_of(east))))
+    a, b = F.greatest(west, borders[F.col("strip")]), F.least(east, borders[F.col("strip") + 1])
     slope = (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))
     cut = cut.select(
         "strip", "region", a.alias("x1"), (F.col("y1") + slope * (a - F.col("x1"))).alias("y1"),
         b.alias("x2"), (F.col("y1") + slope * (b - F.col("x1"))).alias("y2"),
-    )
-    both = cut.select("strip", F.lit(0).alias("side"), "region", "x1", "y1", "x2", "y2").unionByName(
-        points.select(F.floor(F.col("lon") / strip).alias("strip"), F.lit(1).alias("side"), "key", F.col("lon"), F.col("lat")), allowMissingColumns=True
+    ).filter("x1 < x2").join(parts, "strip").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    there = placed.join(parts, "strip").withColumn("part", F.pmod(F.xxhash64("key", "lon", "lat"), "parts").cast("int"))
+    both = cut.select("strip", "part", F.lit(0).alias("side"), "region", "x1", "y1", "x2", "y2").unionByName(
+        there.select("strip", "part", F.lit(1).alias("side"), "key", "lon", "lat"), allowMissingColumns=True
     )
 
     def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, strip_of, held = None, None, []
-        for part in by_group(batches, ["strip", "side"]):
+        made, place = None, None
+        for part in by_group(batches, ["strip", "part", "side"]):
+            here = part.column("strip")[0].as_py(), part.column("part")[0].as_py()
             if part.column("side")[0].as_py() == 0:
-                made, strip_of = swept(part), part.column("strip")[0].as_py()
-            elif made is not None and part.column("strip")[0].as_py() == strip_of:
+                made, place = swept(part), here
+            elif made is not None and here == place:
                 for batch in part.combine_chunks().to_batches(max_chunksize=50_000):
                     yield found(*made, batch)
 
-    return both.repartition("strip").sortWithinPartitions("strip", "side").mapInArrow(strips, "key string, region string")
+    return both.repartition("strip", "part").sortWithinPartitions("strip", "part", "side").mapInArrow(strips, "key string, region string")
 
 
 def box_edges(boxes: DataFrame, region, west, south, east, north) -> DataFrame:

@@ -509,6 +509,43 @@ def name_keys(spark, d):
     return table(spark, d, "wikidata_entities").select("qid", unaccent(F.lower("label_en")).alias("plain"), plain_name(F.col("label_en")).alias("key"))
 
 
+@query(
+    f"""WITH n AS (SELECT * FROM e WHERE from_year <= {YEAR} AND track IN ('site_type', 'population') QUALIFY {LAST.format('site_id, track')}),
+       p AS (SELECT site_id, max(label) FILTER (WHERE track = 'site_type') AS nt, TRY_CAST(max(label) FILTER (WHERE track = 'population') AS BIGINT) AS pop FROM n GROUP BY site_id),
+       v1 AS (SELECT DISTINCT site_id FROM v)
+       SELECT s.id, CAST(least(100, CASE coalesce(nt, site_type) {TYPES.replace(', ', ' ')} ELSE 20 END + CASE WHEN pop IS NOT NULL THEN least(30, floor(log10(CAST(greatest(pop, 1) AS DOUBLE)) * 8)) ELSE 0 END
+         + 10 + CASE WHEN v1.site_id IS NOT NULL THEN 5 ELSE 0 END) AS INTEGER) AS importance
+       FROM s LEFT JOIN p ON p.site_id = s.id LEFT JOIN v1 ON v1.site_id = s.id WHERE s.timeline IS NOT NULL""",
+    "e v",
+)
+def importance_shown(spark, d):
+    now = t.latest_entry(silver.entries(spark, d, ["site_type", "population"]), YEAR, ["site_id", "track"])
+    state = now.groupBy("site_id").agg(*[F.max(F.when(F.col("track") == k, F.col("label"))).alias(f"now_{k}") for k in ("site_type", "population")])
+    told = silver.events(spark, d).select("site_id").distinct().withColumn("told", F.lit(True))
+    rows = silver.sites(spark, d).filter("timeline is not null").withColumnRenamed("id", "site_id").join(state, "site_id", "left").join(told, "site_id", "left")
+    score = numbers.importance_shown(F.coalesce("now_site_type", "site_type"), F.col("now_population").try_cast("bigint"), F.lit(True), F.col("told"))
+    return rows.select(F.col("site_id").alias("id"), score.alias("importance"))
+
+
+@query(
+    """WITH a AS (SELECT e.site_id, 'culture' AS kind, e.qid AS entity_qid, 'timeline' AS source, any_value(w.inception) AS from_year, any_value(w.dissolution) AS to_year, max(s.timeline_extracted_at) AS seen, bool_or(e.confidence = 'high') AS sure
+         FROM e JOIN wikidata_entities w ON w.qid = e.qid AND w.kind = 'culture' JOIN s ON s.id = e.site_id WHERE e.track = 'culture' GROUP BY 1, 3)
+       SELECT site_id, kind, entity_qid, source, CASE WHEN sure THEN from_year END AS from_year, CASE WHEN sure THEN to_year END AS to_year, CASE WHEN sure THEN seen ELSE TIMESTAMP '2000-01-01' END AS last_seen_at FROM a""",
+    "e",
+)
+def attribution_upsert(spark, d):
+    """Attributions of sites to cultures, known ones without years, after a pass that found those of sure entries."""
+    listed = table(spark, d, "wikidata_entities").filter("kind = 'culture'").select("qid", "inception", "dissolution")
+    e = silver.entries(spark, d, ["culture"], ["timeline_extracted_at"]).join(listed, "qid")
+    rows = e.select(
+        "site_id", F.col("track").alias("kind"), F.col("qid").alias("entity_qid"), F.lit("timeline").alias("source"), F.col("inception").alias("from_year"),
+        F.col("dissolution").alias("to_year"), F.col("timeline_extracted_at").alias("last_seen_at"), "confidence",
+    )
+    keys, none = ["site_id", "kind", "entity_qid", "source"], F.lit(None).cast("int")
+    old = rows.select(*keys, none.alias("from_year"), none.alias("to_year"), F.lit("2000-01-01").cast(rows.schema["last_seen_at"].dataType).alias("last_seen_at")).distinct()
+    return merge.stamped(old, rows.filter("confidence = 'high'").drop("confidence"), keys, ["from_year", "to_year"], "last_seen_at")
+
+
 @query(f"SELECT id, CAST({BASE} AS INTEGER) AS base_importance FROM s", "s")
 def base_importance(spark, d):
     return silver.sites(spark, d).select("id", numbers.base_importance(F.col("sitelinks_count"), F.col("wikipedia_page_en_url")).alias("base_importance"))

@@ -76,9 +76,9 @@ def subordinate_qids(spark, d):
     return e.groupBy("site_id").agg(F.array_join(F.array_sort(F.collect_set("qid")), ",").alias("subordinate_qids"))
 
 
-@query("SELECT id FROM s WHERE title_en = wikidata_id AND sitelinks_count > 0", "s")
+@query("SELECT id FROM s WHERE title_en = wikidata_id AND sitelinks_count > 0 AND wikidata_enriched_at IS NULL", "s")
 def backfill_candidates(spark, d):
-    return silver.sites(spark, d).filter("title_en = wikidata_id and sitelinks_count > 0").select("id")
+    return silver.sites(spark, d).filter("title_en = wikidata_id and sitelinks_count > 0 and wikidata_enriched_at is null").select("id")
 
 
 @query(
@@ -95,15 +95,18 @@ def referential_lines(spark, d):
 
 
 @query(
-    """SELECT site_id, track, ordinal, CASE WHEN track = 'site_type' THEN replace(label, '_', ' ') WHEN track = 'population' THEN format('{:,}', TRY_CAST(label AS BIGINT)) ELSE label END
-         || CASE WHEN track IN ('religion', 'language') AND role IS NOT NULL THEN ' · ' || role ELSE '' END AS shown FROM e WHERE label IS NOT NULL""",
+    """SELECT site_id, track, ordinal, CASE WHEN track = 'site_type' THEN replace(label, '_', ' ') WHEN track = 'population' THEN format('{:,}', TRY_CAST(label AS BIGINT)) WHEN track = 'name' AND lang <> '' THEN label || ' (' || lang || ')' ELSE label END
+         || CASE WHEN track IN ('religion', 'language') AND role IS NOT NULL THEN ' · ' || role ELSE '' END AS shown FROM (SELECT e.*, it.i->'value'->>'lang' AS lang FROM e JOIN it ON it.site_id = e.site_id AND it.section = e.track AND it.ordinal = e.ordinal) WHERE label IS NOT NULL""",
     "e",
 )
 def entries_as_text(spark, d):
     number = F.format_number(F.col("label").try_cast("bigint"), 0)
-    base = F.when(F.col("track") == "site_type", F.replace("label", F.lit("_"), F.lit(" "))).when(F.col("track") == "population", number).otherwise(F.col("label"))
+    tongue = F.when((F.col("track") == "name") & (F.col("lang") != ""), F.concat("label", F.lit(" ("), "lang", F.lit(")")))
+    base = F.when(F.col("track") == "site_type", F.replace("label", F.lit("_"), F.lit(" "))).when(F.col("track") == "population", number).otherwise(F.coalesce(tongue, "label"))
     role = F.when(F.col("track").isin("religion", "language") & F.col("role").isNotNull(), F.concat(F.lit(" · "), "role")).otherwise("")
-    return silver.entries(spark, d).filter("label is not null").select("site_id", "track", "ordinal", F.concat(base, role).alias("shown"))
+    items = timeline_items(silver.sites(spark, d).filter("timeline is not null"), "id", "timeline", ["record_id", "section", "ordinal", "label", "role", "lang"], TRACKS)
+    rows = items.withColumnsRenamed({"record_id": "site_id", "section": "track"}).filter("label is not null")
+    return rows.select("site_id", "track", "ordinal", F.concat(base, role).alias("shown"))
 
 
 @query(

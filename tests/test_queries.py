@@ -9,6 +9,8 @@ from tests.compare import duck, same
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.catalog.QUERIES, entry.catalog.ORACLE
+#: Queries without rows on the smallest data.
+EMPTY: set[str] = set()
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 
 
@@ -20,7 +22,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     if name in SQL:
-        assert same(spark, con, FOLDER, QUERIES[name], SQL[name]) in ("", "empty")
+        assert same(spark, con, FOLDER, QUERIES[name], SQL[name]) in ("", "empty" if name in EMPTY else "")
     else:
         QUERIES[name](spark, FOLDER).collect()
 

@@ -79,3 +79,24 @@ def test_boxes_are_half_open(spark):
         assert got == {("1", "a"), ("2", "b"), ("4", "c"), ("5", "a"), (None, "a")}
     assert in_regions(p, edges.limit(0)).collect() == [] and located(p.limit(0), "key", "lon", "lat").count() == 0
     assert Sweep(*(np.zeros(0) for _ in range(5))).containing(np.array([1.0]), np.array([1.0]))[0].size == 0
+
+
+def test_a_sweep_grows_with_its_edges():
+    random.seed(4)
+    rng = np.random.default_rng(4)
+    n = 50_000  # polygons of four edges, up to five degrees wide
+    x, y = rng.uniform(-180, 175, n), rng.uniform(-90, 85, n)
+    w, h = rng.uniform(0.1, 5, n), rng.uniform(0.1, 5, n)
+    ring = np.stack([np.stack([x, y], 1), np.stack([x + w, y + h / 3], 1), np.stack([x + w / 2, y + h], 1), np.stack([x + w / 9, y + h / 2], 1)], 1)
+    to = np.roll(ring, -1, axis=1)
+    sweep = Sweep(np.repeat(np.arange(n), 4), ring[:, :, 0].ravel(), ring[:, :, 1].ravel(), to[:, :, 0].ravel(), to[:, :, 1].ravel())
+    assert len(sweep.edge) <= 8 * 4 * n
+    px, py = rng.uniform(-180, 180, 3000), rng.uniform(-90, 90, 3000)
+    got = set(zip(*(a.tolist() for a in sweep.containing(px, py))))
+    assert sweep.held <= sweep.KEPT
+    for k in range(0, 3000, 60):  # crossings of a ray to the south
+        a, b = ring[:, :, 0] <= px[k], to[:, :, 0] <= px[k]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = ring[:, :, 1] + (px[k] - ring[:, :, 0]) * (to[:, :, 1] - ring[:, :, 1]) / (to[:, :, 0] - ring[:, :, 0])
+        inside = np.flatnonzero(((a != b) & (at <= py[k])).sum(1) % 2)
+        assert {r for p, r in got if p == k} == set(inside.tolist())
