@@ -7,14 +7,14 @@ run of 6 or more for each n from 20 on). Documents that share a fingerprint with
 lemma (n words with e edits keep at least n - k + 1 - k e of their k-grams, 9 or more), then exactly, from each shared run
 to both sides by the furthest place reached with each number of edits.
 
-The items' fingerprints are what each task joins its documents with. They go to the tasks in blocks of items of a proven
-size, one pass over the corpus for each block, so the documents are never shuffled, and hot documents can't be.
+Up to ``ITEMS`` characters of items their fingerprints are what each task joins its documents with, so the documents are never
+shuffled. Beyond it the fingerprints of both sides meet in one join, hot ones salted by their counts, and the pairs that share one
+are extended by the same code; both ways give the same rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from epochgrid.llm.words import words
 from epochgrid.operators.arrow import sliced
 
 GRAM, WINDOW, SPAN, ONE_IN = 4, 3, 20, 8
-#: Characters of items in one block; what goes to each task is some twenty times as much.
+#: Characters of items that go to each task; there they take some twenty times as much.
 ITEMS = 4_000_000
 BLOCK = 8 << 20
 _NONE = np.uint64(2**64 - 1)
@@ -110,21 +110,22 @@ class Items:
         # items of fewer words than a k-gram are looked for by shorter ones
         self.tables = {}
         for k in range(1, GRAM + 1):
-            grams, owners, kept = [], [], []
+            grams, owners, kept, whole = [], [], [], []
             for i, w in enumerate(self.words):
                 if min(len(w), GRAM) != k:
                     continue
                 h = gram_hashes(np.array(w, np.int64), k)
                 grams.append(h)
                 owners.append(np.full(len(h), i))
-                window = WINDOW if len(w) >= SPAN else 1
-                kept.append(h[winnowed(h, window)])
+                # only spans of SPAN words are sure to share a winnowed fingerprint
+                (kept if len(w) >= SPAN else whole).append(h[winnowed(h, WINDOW)] if len(w) >= SPAN else h)
             if grams:
                 h, o = np.concatenate(grams), np.concatenate(owners)
                 order = np.lexsort((o, h))
                 h, o = h[order], o[order]
                 fresh = np.r_[True, (h[1:] != h[:-1]) | (o[1:] != o[:-1])]
-                self.tables[k] = (h[fresh], o[fresh], np.unique(np.concatenate(kept)))
+                prints, short = (np.unique(np.concatenate([np.zeros(0, np.uint64), *x])) for x in (kept, whole))
+                self.tables[k] = (h[fresh], o[fresh], prints, short)
 
     def found(self, texts: list[str | None]) -> tuple[list[int], list]:
         """(text, item) for each item a text gives away."""
@@ -135,15 +136,14 @@ class Items:
         starts = np.cumsum(length + 1) - length - 1
         rows: list[int] = []
         out: list = []
-        for k, (grams, owners, prints) in self.tables.items():
+        for k, (grams, owners, prints, short) in self.tables.items():
             h = gram_hashes(ids, k)
             live = np.flatnonzero(h != _NONE)
             if not live.size:
                 continue
-            # the window may only be left out where all is known to be short
-            chosen = winnowed(h, WINDOW) if k == GRAM and not self.short else np.arange(len(h))
+            chosen = winnowed(h, WINDOW) if len(prints) else live[:0]
             chosen = chosen[h[chosen] != _NONE]
-            hit = chosen[np.isin(h[chosen], prints)]
+            hit = np.r_[chosen[np.isin(h[chosen], prints)], live[np.isin(h[live], short)] if len(short) else live[:0]]
             docs = np.unique(np.searchsorted(starts, hit, "right") - 1)
             marked = np.zeros(len(split), bool)
             marked[docs] = True
@@ -172,10 +172,6 @@ class Items:
                     out.append(self.names[i])
         return rows, out
 
-    @property
-    def short(self) -> bool:
-        return any(len(w) < SPAN for w in self.words)
-
     def _given(self, item: list[int], text: list[int], places: list[int], k: int, need: int) -> bool:
         """Whether a span long enough runs through one of the places of the text whose k words the item has."""
         known: dict[tuple[int, ...], list[int]] = {}
@@ -196,38 +192,85 @@ class Items:
         return False
 
 
-def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, block: int = ITEMS) -> DataFrame:
+def _prints(text: str, kinds: tuple[int, ...]) -> set[tuple[int, int]]:
+    """(kind, fingerprint) of a text: of kind 0 the winnowed k-grams, of kind k all k-grams, by hashes of words."""
+    from xxhash import xxh32_intdigest
+
+    ids = np.array([xxh32_intdigest(w) + 1 for w in words(text)], np.int64)
+    out: set[tuple[int, int]] = set()
+    for kind in kinds:
+        h = gram_hashes(ids, kind or GRAM)
+        out |= {(kind, x) for x in (h if kind else h[winnowed(h, WINDOW)]).astype(np.int64).tolist()}
+    return out
+
+
+def _joined(source: DataFrame, held: DataFrame) -> DataFrame:
+    """(__key, __item) by one join of fingerprints. Equal texts are looked at once."""
+    from epochgrid.operators.skew import hot_keys, salted_join
+    from epochgrid.session import checkpoint
+
+    def kind_of(text: str) -> tuple[int, ...]:
+        n = len(words(text))
+        return (0,) if n >= SPAN else (min(n, GRAM),) if n else ()
+
+    def printed(batches: Iterator[pa.RecordBatch], kinds: tuple[int, ...] | None) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sliced(whole, "text", BLOCK):
+                ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
+                rows = [(i, k, h) for i, t in zip(ids, texts) for k, h in sorted(_prints(t, kind_of(t) if kinds is None else kinds))]
+                columns = [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.string(), pa.int32(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "kind", "print"])
+
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [bool(Items([0], [b]).found([t])[0]) for t, b in zip(batch.column("text").to_pylist(), batch.column("body").to_pylist())]
+            yield batch.select(["id", "item_id"]).filter(pa.array(keep, pa.bool_()))
+
+    schema = "id string, kind int, print bigint"
+    bodies = held.select(F.md5("body").alias("id"), F.col("body").alias("text")).dropDuplicates(["id"])
+    wanted = checkpoint(bodies.mapInArrow(lambda b: printed(b, None), schema).withColumnRenamed("id", "item_id").withColumn("at", F.xxhash64("kind", "print")).select("item_id", "at", "kind"))
+    kinds = tuple(sorted(r["kind"] for r in wanted.select("kind").distinct().collect()))  # five at most
+    texts = source.select(F.md5("__text").alias("id"), F.col("__text").alias("text"))
+    have = texts.mapInArrow(lambda b: printed(b, kinds), schema).select("id", F.xxhash64("kind", "print").alias("at"))
+    have = checkpoint(have.join(wanted.select("at").distinct(), "at", "left_semi").distinct())
+    pairs = checkpoint(salted_join(have, wanted.drop("kind"), "at", hot_keys(have.groupBy("at").count(), "at", "count"), by=F.col("id")).select("id", "item_id").distinct())
+    some = texts.join(pairs.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    both = pairs.join(some, "id").join(bodies.select(F.col("id").alias("item_id"), F.col("text").alias("body")), "item_id")
+    sure = checkpoint(both.select("id", "item_id", "text", "body").mapInArrow(given, "id string, item_id string"))
+    docs = source.select("__key", F.md5("__text").alias("id"))
+    found = salted_join(docs, sure, "id", hot_keys(docs.groupBy("id").count(), "id", "count"))
+    return found.join(held.select("item", F.md5("body").alias("item_id")), "item_id").select("__key", F.col("item").alias("__item"))
+
+
+def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, most: int = ITEMS) -> DataFrame:
     """(key, item_key) for each document that holds an item, or at least ``SPAN`` consecutive words of it, with at most one
     word in eight changed, added or missing; spans begin and end with a shared word.
 
     Null and empty texts and items without words give nothing; an item shorter than ``SPAN`` words must be there as a
     whole. Rows that repeat a document repeat its result. A null key stays null; if both keys have one name the item's gets
-    ``_item`` at its end. Other columns aren't read.
+    ``_item`` at its end. Other columns aren't read. ``most`` characters of items are sent to the tasks, more are joined.
     """
     spark = docs.sparkSession
     held = items.select(F.col(item_key).alias("item"), F.col(item_text).cast("string").alias("body")).filter(F.length("body") > 0)
     size = int(held.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0])
-    blocks = max(1, -(-size // block))
     kind = dict(items.dtypes)[item_key]
     source = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text")).filter(F.length("__text") > 0)
-    parts = []
-    for k in range(blocks):
-        mine = held if blocks == 1 else held.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
-        rows = mine.toArrow()
-        shared = spark.sparkContext.broadcast((rows.column("item").to_pylist(), rows.column("body").to_pylist()))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            made = Items(*shared.value)
-            for whole in batches:
-                for batch in sliced(whole, "__text", BLOCK):
-                    at, item = made.found(batch.column("__text").to_pylist())
-                    kept = pa.array(item, whole_type)
-                    yield pa.RecordBatch.from_arrays([batch.column("__key").take(pa.array(at, pa.int64())), kept], names=["__key", "__item"])
-
-        whole_type = rows.schema.field("item").type
-        parts.append(source.mapInArrow(run, f"__key {dict(docs.dtypes)[key]}, __item {kind}"))
-    out = reduce(DataFrame.unionByName, parts)
-    return out.select(F.col("__key").alias(key), F.col("__item").alias(item_key if item_key != key else f"{item_key}_item"))
+    named = item_key if item_key != key else f"{item_key}_item"
+    if size > most:
+        return _joined(source, held).select(F.col("__key").alias(key), F.col("__item").alias(named))
+    rows = held.toArrow()  # of a size that has been checked
+    shared = spark.sparkContext.broadcast((rows.column("item").to_pylist(), rows.column("body").to_pylist()))
+    kept_type = rows.schema.field("item").type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Items(*shared.value)
+        for whole in batches:
+            for batch in sliced(whole, "__text", BLOCK):
+                at, item = made.found(batch.column("__text").to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column("__key").take(pa.array(at, pa.int64())), pa.array(item, kept_type)], names=["__key", "__item"])
+
+    out = source.mapInArrow(run, f"__key {dict(docs.dtypes)[key]}, __item {kind}")
+    return out.select(F.col("__key").alias(key), F.col("__item").alias(named))
 
 
 def p7_found(spark, sf_dir: str) -> DataFrame:

@@ -92,9 +92,11 @@ def test_leaks(spark):
     want = {(k, k) for k in range(12)} | {(100, 3), (102, 50), (105, 5), (None, 0)}
     d = spark.createDataFrame(docs, "id bigint, text string")
     i = spark.createDataFrame(items, "id bigint, body string")
-    for block in (leak.ITEMS, 900):
-        got = leak.leaked(d, "id", "text", i, "id", "body", block).collect()
+    for most in (leak.ITEMS, 900):  # items sent to the tasks, and joined
+        got = leak.leaked(d, "id", "text", i, "id", "body", most).collect()
         assert len(got) == len(want) and {tuple(r) for r in got} == want
+    twice = leak.leaked(d.unionByName(d.filter("id = 3")), "id", "text", i.unionByName(i.filter("id = 3")), "id", "body", 900)
+    assert twice.filter("id = 3").count() == 4
     assert leak.leaked(d.limit(0), "id", "text", i, "id", "body").collect() == [] and leak.leaked(d, "id", "text", i.limit(0), "id", "body").collect() == []
 
 
