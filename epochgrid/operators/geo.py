@@ -11,18 +11,24 @@ from pyspark.sql import functions as F
 
 from epochgrid.operators.arrow import by_group
 from epochgrid.operators.graph import components
+from epochgrid.session import written
 
 RADIUS, BUFFER, SITES = 5.0, 0.08, 3
 #: Sites from which an outline is concave, and how long its edges may be, as a share of the longest of the hull.
 BENT, SHARE = 5, 0.75
 
 
+#: Parts a side of a cell is cut into where cells are compared.
+FINER = 8
+
+
 def clusters(points: DataFrame, radius: float = RADIUS) -> DataFrame:
     """(entity, id, cluster): per entity the connected components of points at most ``radius`` degrees apart on the plane; that
     is density clustering where one point is enough. A cluster is named by its smallest id.
 
-    Points of a grid cell a third as wide as the radius are all near each other, so they are linked to one of them only; pairs
-    are compared between cells, each cell by its points' outline of distinct places.
+    Points of a grid cell a third as wide as the radius are all near each other, so they are linked to one of them only. Two cells are
+    compared by the boxes of their points in ``FINER`` times ``FINER`` parts: boxes that lie within the radius, or whose first points
+    do, link them, boxes beyond it don't. Places meet each other only where neither says so and no other parts link the two cells.
     """
     side = radius / 3
     p = points.select("entity", "id", "lon", "lat").dropna().distinct()
@@ -30,11 +36,31 @@ def clusters(points: DataFrame, radius: float = RADIUS) -> DataFrame:
     heads = p.groupBy("entity", "cx", "cy").agg(F.min("id").alias("head"))
     p = p.join(heads, ["entity", "cx", "cy"])
     own = p.filter("id <> head").select(F.col("node").alias("a"), F.struct("entity", F.col("head").alias("id")).alias("b"))
-    places = p.groupBy("entity", "cx", "cy", "head", "lon", "lat").agg(F.lit(1).alias("one"))
-    steps = F.explode(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x in range(0, 5) for y in range(-4, 5) if (x, y) > (0, 0)]))
-    moved = places.withColumn("s", steps).select("entity", (F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"), F.col("head").alias("other"), F.col("lon").alias("x"), F.col("lat").alias("y"))
-    close = (F.pow(F.col("lon") - F.col("x"), 2) + F.pow(F.col("lat") - F.col("y"), 2)) <= radius * radius
-    across = places.join(moved, ["entity", "cx", "cy"]).filter(close).select("entity", "head", "other").distinct()
+    x, y = F.col("lon"), F.col("lat")
+    fine = p.withColumn("part", F.struct(F.floor(x / (side / FINER)).alias("x"), F.floor(y / (side / FINER)).alias("y")))
+    boxes = fine.groupBy("entity", "cx", "cy", "head", "part").agg(
+        F.min(x).alias("w"), F.min(y).alias("s"), F.max(x).alias("e"), F.max(y).alias("n"), F.min(F.struct("lon", "lat")).alias("first")
+    )
+    steps = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(0, 5) for dy in range(-4, 5) if (dx, dy) > (0, 0)]))
+    moved = boxes.withColumn("step", steps).select(
+        "entity", (F.col("cx") + F.col("step.dx")).alias("cx"), (F.col("cy") + F.col("step.dy")).alias("cy"), F.col("head").alias("other"),
+        F.col("part").alias("part_o"), *[F.col(c).alias(f"{c}_o") for c in "wsen"], F.col("first").alias("first_o"),
+    )
+    zero, reach = F.lit(0.0), radius * radius
+
+    def square(a, b):
+        return a * a + b * b
+
+    gap = square(F.greatest(F.col("w") - F.col("e_o"), F.col("w_o") - F.col("e"), zero), F.greatest(F.col("s") - F.col("n_o"), F.col("s_o") - F.col("n"), zero))
+    span = square(F.greatest("e", "e_o") - F.least("w", "w_o"), F.greatest("n", "n_o") - F.least("s", "s_o"))
+    first = square(F.col("first.lon") - F.col("first_o.lon"), F.col("first.lat") - F.col("first_o.lat"))
+    compared = boxes.join(moved, ["entity", "cx", "cy"]).withColumn("sure", (span <= reach) | (first <= reach)).filter(F.col("sure") | (gap <= reach))
+    compared = written(compared.select("entity", "head", "other", "part", "part_o", "sure"))
+    near = compared.filter("sure").select("entity", "head", "other").distinct()
+    open_ = compared.filter("not sure").join(near, ["entity", "head", "other"], "left_anti").select("entity", "head", "other", "part", "part_o")
+    places = fine.select("entity", "part", "lon", "lat").distinct()
+    pairs = open_.join(places, ["entity", "part"]).join(places.select("entity", F.col("part").alias("part_o"), F.col("lon").alias("x"), F.col("lat").alias("y")), ["entity", "part_o"])
+    across = near.unionByName(pairs.filter(square(x - F.col("x"), y - F.col("y")) <= reach).select("entity", "head", "other")).distinct()
     across = across.select(F.struct("entity", F.col("head").alias("id")).alias("a"), F.struct("entity", F.col("other").alias("id")).alias("b"))
     found = components(own.unionByName(across), "a", "b").select(F.col("node"), F.col("component.id").alias("found"))
     return p.join(found, "node", "left").select("entity", "id", "lon", "lat", F.coalesce("found", "id").alias("cluster"))

@@ -187,3 +187,25 @@ def test_queues(spark, tmp_path):
     single = queue.once(stream(), "id", "at", "2 days").writeStream.format("memory").queryName("single").trigger(availableNow=True).start()
     single.awaitTermination()
     assert spark.table("single").filter("id = 'a'").count() == 1
+
+
+def test_dense_clusters_equal_brute_force(spark):
+    import numpy as np
+
+    def components_of(names, near):
+        left, out = set(range(len(names))), {}
+        while left:
+            found = todo = {min(left)}
+            while todo:
+                todo = {int(j) for i in todo for j in np.flatnonzero(near[i])} - found
+                found = found | todo
+            out |= {names[i]: names[min(found)] for i in found}
+            left -= found
+        return out
+
+    rng = np.random.default_rng(11)
+    for radius, spread in ((1.0, 6), (3.0, 20)):
+        xy = np.round(np.r_[rng.normal(0, spread, (250, 2)), rng.uniform(-0.1, 0.1, (150, 2)), [[spread, 0], [spread + radius, 0]]], 3)
+        df = spark.createDataFrame([("e", f"s{i:04}", float(x), float(y)) for i, (x, y) in enumerate(xy)], "entity string, id string, lon double, lat double")
+        got = {r["id"]: r["cluster"] for r in geo.clusters(df, radius).collect()}
+        assert got == components_of([f"s{i:04}" for i in range(len(xy))], ((xy[:, None] - xy[None]) ** 2).sum(2) <= radius * radius)
