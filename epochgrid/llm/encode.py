@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -117,24 +118,28 @@ class Encoder:
 
 
 @lru_cache(2)
+def read(data: bytes) -> Encoder:
+    return Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())})
+
+
 def encoder(path: str) -> Encoder:
-    with open(path, "rb") as file:
-        return Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, file)})
+    return read(Path(path).read_bytes())
 
 
 def encode(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(key, ids) of each row, without special tokens; an empty list where the text is empty or null.
 
-    The strings of special tokens are ordinary text. Rows and their order within a task stay as they are, repeated and
+    ``vocabulary`` is a file of the driver, which is sent to the tasks. The strings of special tokens are ordinary text. Rows and their order within a task stay as they are, repeated and
     null keys too, and nothing is shuffled. Other columns of ``df`` aren't read; beside a key named ``ids`` the list is
     ``token_ids``.
     """
     source = df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
+    shared = df.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())  # a vocabulary, of a megabyte or so
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        made, pieces = encoder(vocabulary), regex.compile(pattern).findall
+        made, pieces = read(shared.value), regex.compile(pattern).findall
         seen = made.seen
         for whole in batches:
             for batch in sliced(whole, "__text", BLOCK):
