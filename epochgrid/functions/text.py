@@ -21,6 +21,19 @@ def _accented() -> tuple[str, str]:
 _FROM, _TO = _accented()
 
 
+# What goes from the text of an article, in this order, and what takes its place.
+CLEANED = [
+    (r"\{\{[^}]*\}\}", ""), (r"(?s)<ref[^>]*>.*?</ref>", ""), (r"<[^>]+>", ""), (r"\[\[([^\]|]+\|)?([^\]]+)\]\]", "$2"), (r"={2,}", ""), (r"\n{3,}", "\n\n"),
+]
+
+
+def cleaned(c: Column) -> Column:
+    """The text of an article without templates, references, tags, link targets and marks of headings."""
+    for pattern, by in CLEANED:
+        c = F.regexp_replace(c, pattern, by)
+    return F.regexp_replace(c, r"^[ \n\r\t]+|[ \n\r\t]+$", "")
+
+
 def unaccent(c: Column) -> Column:
     """Without accents on Latin letters, composed or decomposed; null stays null."""
     return F.translate(F.regexp_replace(c, "[̀-ͯ]", ""), _FROM, _TO)

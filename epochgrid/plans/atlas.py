@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from epochgrid.functions import numbers
-from epochgrid.functions.text import entity_key, plain_name, role_rank, unaccent
+from epochgrid.functions.display import SEGMENTS
+from epochgrid.functions.text import CLEANED, cleaned, entity_key, plain_name, role_rank, unaccent
 from epochgrid.operators import geo, merge, search
 from epochgrid.operators import sites as on_map
 from epochgrid.operators import temporal as t
@@ -418,12 +419,9 @@ def time_scale(spark, d):
     return years.select("year", F.round(x, 6).alias("linear"), F.round(1 - F.sqrt(1 - x), 6).alias("root"), F.round(1 - F.log1p((1 - x) * 20) / F.log1p(F.lit(20.0)), 6).alias("logarithmic"))
 
 
-@query(
-    """SELECT CAST(unnest(generate_series(f, t - 1, s)) AS BIGINT) AS from_year, CAST(s AS BIGINT) AS step FROM (VALUES (-10000, -5000, 1000), (-5000, -3200, 500), (-3200, -1200, 100), (-1200, 1500, 50), (1500, 1800, 50), (1800, 2000, 10)) v(f, t, s)"""
-)
+@query("SELECT CAST(unnest(generate_series(f, t - 1, s)) AS BIGINT) AS from_year, CAST(s AS BIGINT) AS step FROM (VALUES " + ", ".join(map(str, SEGMENTS)) + ") v(f, t, s)")
 def ruler_cells(spark, d):
-    segments = [(-10000, -5000, 1000), (-5000, -3200, 500), (-3200, -1200, 100), (-1200, 1500, 50), (1500, 1800, 50), (1800, 2000, 10)]  # fixed values
-    rows = spark.createDataFrame(segments, "f bigint, t bigint, s bigint")
+    rows = spark.createDataFrame(SEGMENTS, "f bigint, t bigint, s bigint")
     return rows.select(F.explode(F.sequence("f", F.col("t") - 1, F.col("s"))).alias("from_year"), F.col("s").alias("step"))
 
 
@@ -445,16 +443,13 @@ def hull_color(spark, d):
 
 
 _CLEAN = "text"
-for _pattern, _by in (("\\{\\{[^}]*\\}\\}", ""), ("(?s)<ref[^>]*>.*?</ref>", ""), ("<[^>]+>", ""), ("\\[\\[([^\\]|]+\\|)?([^\\]]+)\\]\\]", "\\2"), ("={{2,}}", ""), ("\\n{{3,}}", "\n\n")):
-    _CLEAN = f"regexp_replace({_CLEAN}, '{_pattern.replace('{{2,}}', '{2,}').replace('{{3,}}', '{3,}')}', '{_by}', 'g')"
+for _pattern, _by in CLEANED:
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_pattern}', '{_by.replace('$2', chr(92) + '2')}', 'g')"
 
 
 @query(f"SELECT doc_id, md5(trim({_CLEAN}, E' \\n\\r\\t')) AS cleaned FROM documents WHERE text IS NOT NULL")
 def clean_wikitext(spark, d):
-    text = F.col("text")
-    for pattern, by in ((r"\{\{[^}]*\}\}", ""), (r"(?s)<ref[^>]*>.*?</ref>", ""), (r"<[^>]+>", ""), (r"\[\[([^\]|]+\|)?([^\]]+)\]\]", "$2"), (r"={2,}", ""), (r"\n{3,}", "\n\n")):
-        text = F.regexp_replace(text, pattern, by)
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.md5(F.regexp_replace(text, r"^[ \n\r\t]+|[ \n\r\t]+$", "")).alias("cleaned"))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.md5(cleaned(F.col("text"))).alias("cleaned"))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from epochgrid.functions.display import SEGMENTS
 from epochgrid.functions.text import entity_key
 from epochgrid.operators import curation as c
 from epochgrid.operators import quality as q
@@ -129,7 +130,7 @@ def bindings_parsed(spark, d):
 )
 def play_steps(spark, d):
     step = F.lit(10)
-    for low, high, size in ((-1200, 1800, 50), (-3200, -1200, 100), (-5000, -3200, 500), (-10000, -5000, 1000)):
+    for low, high, size in SEGMENTS:
         step = F.when((F.col("year") >= low) & (F.col("year") < high), size).otherwise(step)
     return silver.entries(spark, d).select(F.col("from_year").alias("year")).filter("year is not null").distinct().withColumn("step", step)
 
