@@ -333,8 +333,8 @@ def in_regions(points: DataFrame, edges: DataFrame, most: int = EDGES) -> DataFr
     # beyond it: strips of longitude with about as many edges each, and points of a crowded strip in parts that all get its edges
     many, most = edges.count(), max(1, most)
     cuts = sorted(set(edges.approxQuantile("x1", [k / (many // most + 1) for k in range(1, many // most + 1)], 0.01)))
-    inner = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    strip_of = lambda x: F.size(F.filter(inner, lambda c: c <= x))
+    # flat and without a lambda, whose outer columns the optimizer overlooks when it carries the expression to the other side of a join
+    strip_of = lambda x: F.size(F.array_compact(F.array(*[F.when(x >= c, 1) for c in cuts]).cast("array<int>")))
     borders = F.array(*[F.lit(float(c)) for c in [-1e9, *cuts, 1e9]])
     placed = points.withColumn("strip", strip_of(F.col("lon")))
     parts = F.broadcast(placed.groupBy("strip").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")))  # one row a strip
