@@ -4,11 +4,13 @@ Each distinct token of the values is repaired: joined by edit distance to the to
 tokens then rank the entries by soft TF-IDF, each token with the weight of its rarity and the closeness of its repair.
 Tokens that many values share but no entry has ("language", "tongue", "spoken") weigh little, as their weight comes from
 the corpus. Tokens that many entries share (stages such as Old or Middle) set entries apart: an entry only counts if the
-value has exactly the same ones.
+value has exactly the same ones. A typed token with several equally close repairs may mean any of them, and so may an
+abbreviation that fits several tokens: each set of tokens that the list has and the value may mean is ranked.
 
 All weights are counted over the whole list and all values. The repair meets each distinct token once with the vocabulary of
 lengths that can fit, in blocks; a block's size changes no result. Only entries that share a repaired token and the tokens that
-set entries apart with a value are ranked, by expressions of the engine. Frequent tokens and values are salted by their counts.
+set entries apart with a value are ranked, by expressions of the engine; an entry that has only such tokens is ranked for values
+in which they outweigh all others. Frequent tokens and values are salted by their counts.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ from epochgrid.operators.skew import hot_keys, salted_join
 NOT_FOUND = "NOT_FOUND"
 #: Vocabulary tokens, and forms of typed tokens, that one task compares at once.
 BLOCK, FORMS = 4_000, 20_000
-#: Least score; share of entries whose tokens a token must stand beside to set entries apart, and their least number.
+#: Least score; share of entries that must have a token, and of tokens it must stand beside, to set entries apart; their least number.
 SCORE, SHARED, PARTNERS = 0.5, 0.03, 8
-#: Letters of an abbreviation, and edits a repair may have at most.
-SHORT, EDITS = 6, allowed(99)
+#: Edits a repair may have at most.
+EDITS = allowed(99)
 #: Digits of a score: equal ones stay equal however they are summed.
 DIGITS = 10
 # Endings of other languages for the same ending.
@@ -47,6 +49,9 @@ def shortens(short: str, word: str) -> bool:
     return word[:1] == short[:1] and all(c in rest for c in short)
 
 
+#: The same as an expression over ``short`` and ``entry`` with equal first letters: where the next letter may stand, 0 if one is missing.
+_SHORTENS = "aggregate(split(short, ''), 1, (at, c) -> if(at = 0 or locate(c, entry, at) = 0, 0, locate(c, entry, at) + 1)) > 0"
+
 _CUT = pa.schema([("value", pa.string()), ("count", pa.int64()), ("tokens", pa.list_(pa.string()))])
 _ENTRY = pa.schema([("key", pa.string()), ("tokens", pa.list_(pa.string()))])
 _FORM = pa.schema([("token", pa.string()), ("form", pa.string())])
@@ -115,6 +120,22 @@ def _repaired(typed: DataFrame, vocabulary: DataFrame, block: int) -> DataFrame:
     return both.mapInArrow(_repairs, "token string, entry string, edits int").groupBy("token", "entry").agg(F.min("edits").alias("edits"))
 
 
+def _meant(asks: DataFrame, sets: DataFrame) -> DataFrame:
+    """(asked, sure): the sets of tokens that the list has and a value may mean.
+
+    Such a set has one token at least of each ask, unless that is free to mean another token, and none that isn't asked for.
+    """
+    fits = F.forall("asked", lambda a: a["free"] | F.arrays_overlap(a["sure"], F.col("sure"))) & (F.size(F.array_except("sure", F.flatten("asked.sure"))) == 0)
+    some = (
+        asks.select("asked", F.explode(F.array_distinct(F.flatten("asked.sure"))).alias("token"))
+        .join(sets.select("sure", F.explode("sure").alias("token")), "token")
+        .filter(fits)
+        .select("asked", "sure")
+        .distinct()
+    )
+    return some.unionByName(asks.filter(F.forall("asked", lambda a: a["free"])).select("asked", F.array().cast("array<string>").alias("sure")))
+
+
 def matched(values: DataFrame, text: str, reference: DataFrame, key: str, label: str, block: int = BLOCK) -> DataFrame:
     """``values`` with the columns ``match`` (a key of the reference, or NOT_FOUND) and ``score``.
 
@@ -135,10 +156,14 @@ def matched(values: DataFrame, text: str, reference: DataFrame, key: str, label:
     size = entries.agg(F.greatest(F.lit(1), F.count("*")).alias("size"))
     least = F.greatest(F.lit(PARTNERS), SHARED * F.col("size"))
     sets = entries.select("tokens", F.size("tokens").alias("n")).distinct().crossJoin(F.broadcast(size))
-    # a token of an entry with so many tokens has enough partners, so no longer entry is ever paired with itself
-    long_ = sets.filter(F.col("n") - 1 >= least).select(F.explode("tokens").alias("entry")).distinct()
-    short = sets.filter(F.col("n") - 1 < least).select("tokens", "size", F.explode("tokens").alias("entry"))
-    paired = short.select("entry", "size", F.explode("tokens").alias("other")).filter("other <> entry").distinct().groupBy("entry", "size").count()
+    beside = sets.filter("n > 1").select("tokens", "n", "size", F.explode("tokens").alias("entry"))
+    # many entries share it: one long entry alone gives its tokens enough partners, but they set nothing apart
+    shared = beside.groupBy("entry", "size").count().filter(F.col("count") >= least).select("entry")
+    beside = beside.join(shared, "entry")
+    # an entry with so many tokens gives each of them enough partners, so only shorter ones are paired with themselves
+    long_ = beside.filter(F.col("n") - 1 >= least).select("entry").distinct()
+    short = beside.filter(F.col("n") - 1 < least).select("entry", "size", F.explode("tokens").alias("other"))
+    paired = short.filter("other <> entry").distinct().groupBy("entry", "size").count()
     apart = long_.unionByName(paired.filter(F.col("count") >= least).select("entry")).distinct().withColumn("apart", F.lit(True))
     vocabulary = checkpoint(
         entries.select(F.explode("tokens").alias("entry"))
@@ -158,19 +183,18 @@ def matched(values: DataFrame, text: str, reference: DataFrame, key: str, label:
     distinct = checkpoint(counts.withColumn("bare", F.regexp_replace("token", r"\.$", "")).join(bare, "bare").crossJoin(F.broadcast(many)))
     closeness = 1 - F.col("edits") / F.greatest(F.length("entry"), F.length("token"), F.lit(1))
     repairs = _repaired(distinct.select("token"), vocabulary.select("entry"), block).withColumn("close", closeness)
-    # an abbreviation of just one token that sets entries apart
+    # an abbreviation may mean any token that sets entries apart and fits, but a whole one is itself
     abbreviated = (
-        distinct.filter(F.col("token").endswith(".") & (F.length("token") <= SHORT))
+        distinct.filter(F.col("token").endswith("."))
         .select("token")
         .mapInArrow(_shorts, "token string, short string")
         .join(vocabulary.filter("apart"), F.substring("short", 1, 1) == F.substring("entry", 1, 1))
-        .filter(F.rlike("entry", F.concat(F.lit("^"), F.array_join(F.split("short", ""), ".*"))))
-        .groupBy("token")
-        .agg(F.count("*").alias("fits"), F.min("entry").alias("entry"))
-        .filter("fits = 1")
-        .select("token", "entry", F.lit(1.0).alias("close"))
+        .filter(F.expr(_SHORTENS))
+        .groupBy("token", "short")
+        .agg(F.collect_set("entry").alias("fits"))
+        .select("token", F.explode(F.when(F.array_contains("fits", F.col("short")), F.array("short")).otherwise(F.col("fits"))).alias("entry"), F.lit(1.0).alias("close"))
     )
-    repairs = repairs.join(abbreviated.select("token"), "token", "left_anti").select("token", "entry", "close").unionByName(abbreviated)
+    repairs = repairs.select("token", "entry", "close").unionByName(abbreviated).groupBy("token", "entry").agg(F.max("close").alias("close"))
     found = (
         repairs.join(vocabulary, "entry")
         .groupBy("token")
@@ -178,45 +202,52 @@ def matched(values: DataFrame, text: str, reference: DataFrame, key: str, label:
         .withColumn("best", F.filter("near", lambda n: n["close"] == F.col("most")))
         .select(
             "token", "near", F.array_max(F.transform("best", lambda n: n["weight"])).alias("weight"),
-            F.transform(F.filter("best", lambda n: n["apart"]), lambda n: n["entry"]).alias("sure"),
+            F.array_sort(F.transform(F.filter("best", lambda n: n["apart"]), lambda n: n["entry"])).alias("sure"),
+            F.exists("best", lambda n: ~n["apart"]).alias("free"),
         )
     )
     unknown = F.col("top") * F.log(F.col("many") / F.least("seen", "many")) / F.log(F.col("many").cast("double"))
     weighed = (
         distinct.join(found, "token", "left")
         .crossJoin(F.broadcast(top))
-        .select("token", "near", F.coalesce("sure", F.array().cast("array<string>")).alias("sure"), F.coalesce("weight", unknown).alias("weight"))
+        .select("token", "near", F.when(F.size("sure") > 0, F.struct("sure", "free")).alias("ask"), F.coalesce("weight", unknown).alias("weight"))
     )
 
     # the values: their repaired tokens, and what entries must agree on
-    seen = (
+    square = F.col("weight") * F.col("weight")
+    seen = checkpoint(
         salted_join(typed, weighed, "token", hot_keys(counts, "token", "count"), by=F.col("value"))
         .groupBy("value")
         .agg(
-            F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"),
-            F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sure")))), " ").alias("sure"),
+            F.sqrt(F.sum(square)).alias("length"),
+            F.array_sort(F.collect_set("ask")).alias("asked"),
             F.collect_list(F.when(F.col("near").isNotNull(), F.struct("weight", "near"))).alias("found"),
+            # what sets entries apart isn't enough by itself, unless it is most of the value
+            (F.round(F.sum(F.when(F.col("ask").isNotNull(), square)) * 2 - F.sum(square), DIGITS) > 0).alias("alone"),
         )
+        .withColumn("sure", F.array_sort(F.array_distinct(F.flatten("asked.sure"))))
     )
     ranked = entries.groupBy("tokens").agg(F.min("key").alias("key")).withColumn("at", F.xxhash64("tokens"))
-    own = (
+    whole = (
         ranked.select("at", "key", F.explode("tokens").alias("entry"))
         .join(vocabulary, "entry")
         .groupBy("at", "key")
         .agg(
-            F.collect_list("entry").alias("own"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
-            F.array_join(F.array_sort(F.collect_list(F.when(F.col("apart"), F.col("entry")))), " ").alias("sure"),
+            F.collect_list("entry").alias("own"), F.sqrt(F.sum(square)).alias("norm"),
+            F.array_sort(F.collect_list(F.when(F.col("apart"), F.col("entry")))).alias("sure"),
             F.collect_list(F.when(~F.col("apart"), F.col("entry"))).alias("plain"),
         )
-        # what sets entries apart isn't enough by itself
-        .select("key", "own", "norm", F.explode("plain").alias("entry"), "sure")
-        .withColumn("meet", F.concat_ws("\x00", "entry", "sure"))
-        .drop("entry", "sure")
     )
+    meet = F.concat_ws("\x00", "entry", F.array_join("sure", " ")).alias("meet")
+    alone = F.array(F.lit(""))  # stands for the tokens of an entry that has only such that set entries apart
+    own = whole.withColumn("entry", F.explode(F.when(F.size("plain") > 0, F.col("plain")).otherwise(alone))).select("key", "own", "norm", meet)
+    open_ = F.exists("asked", lambda a: a["free"] | (F.size(a["sure"]) > 1))
+    unsure = seen.filter(open_).drop("sure")
+    meant = _meant(unsure.select("asked").distinct(), whole.select("sure").distinct())
+    seen = seen.filter(~open_).unionByName(salted_join(unsure, meant, "asked", hot_keys(unsure.groupBy("asked").count(), "asked", "count"), by=F.col("value")))
+    plain = F.array_distinct(F.flatten(F.transform("found", lambda t: F.transform(F.filter(t["near"], lambda n: ~n["apart"]), lambda n: n["entry"]))))
     candidates = checkpoint(
-        seen.withColumn("entry", F.explode(F.array_distinct(F.flatten(F.transform("found", lambda t: F.transform(F.filter(t["near"], lambda n: ~n["apart"]), lambda n: n["entry"]))))))
-        .withColumn("meet", F.concat_ws("\x00", "entry", "sure"))
-        .select("value", "length", "found", "meet")
+        seen.withColumn("entry", F.explode(F.when(F.col("alone"), F.concat(plain, alone)).otherwise(plain))).select("value", "length", "found", meet)
     )
     hot = hot_keys(candidates.groupBy("meet").count(), "meet", "count")
     part = lambda t: F.coalesce(

@@ -70,6 +70,29 @@ def test_matching(spark):
     assert {r["match"] for r in canonical.matched(typed, "name", listed.limit(0), "key", "label").collect()} == {"NOT_FOUND"}
 
 
+def test_matching_keeps_all_entries_and_readings(spark):
+    stems = [f"Lang{a}uxor{b}esh" for a, b in zip("abcdefghijklmnopqrst", "klmnopqrstabcdefghij")]
+    vast = "Sign speech of the hearing impaired among Gifbidic Tugnofesti Zuzhot Vaiklat highlanders"
+    rows = [("V", vast), ("G", "Gifbidic"), ("T", "Tugnofesti"), ("S", "Old"), ("W", "Late Dold")]
+    for letter, stage, some in (("O", "Old", stems[:12]), ("C", "Cold", stems[6:16]), ("M", "Middle", stems[8:]), ("N", "Modern", stems[:9]), ("R", "Transitional", stems[:9]), ("L", "Late", stems[:9])):
+        rows += [(f"{letter}{n[4]}", f"{stage} {n}") for n in some]
+    rows += [(f"Q{n[4]}", n) for n in stems]
+    want = {
+        # an entry of many tokens is found, whole or not, and its tokens don't set others apart
+        vast: "V", "sign speech of hearing impaired among Gifbidic Tugnofesti Zuzhott highlanders": "V", "Gifbidic": "G", "Tugnofsti language": "T",
+        # an entry of nothing but a stage
+        "Old": "S", "old": "S", "Old Kaksupevniwotese": "NOT_FOUND",
+        # an abbreviation that fits two stages means the one that the list has, if any; one of any length counts
+        "M. Langauxorkesh": "Na", "M. Langtuxorjesh": "Mt", "Md. Langauxorkesh": "Na", "M. Gifbidic": "NOT_FOUND", "Trans. Langauxorkesh": "Ra", "Transitl. Langauxorkesh": "Ra", "Transitl. Gifbidic": "NOT_FOUND",
+        # a token as close to two stages, and to a stage and another token
+        "Bold Langauxorkesh": "Oa", "Bold Langpuxorfesh": "Cp", "Late Dold": "W",
+    }
+    listed = spark.createDataFrame(rows, "qid string, label string")
+    typed = spark.createDataFrame([(n,) for n in want], "name string")
+    for block in (50_000, 3):
+        assert {r["name"]: r["match"] for r in canonical.matched(typed, "name", listed, "qid", "label", block).collect()} == want
+
+
 ENTITIES = [
     (["Kingdom of Zuzhotvaiklat", "kingdom of zuzhotvaiklat (sic)", "Zuzhotvaiklat, Kdm. of", "K. of Zúzhotvaiklat", "Zuzhotvaklat Kingd."], "polity"),
     (["Duchy of Zuzhotvaiklat", "Zuzhotvaiklat (duchy)", "Dchy of Zuzhotviaklat"], "polity"),
